@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listwright.functions.charfold import tables
+from listwright.runtime import stored
 
 
 def _quoted(text: str) -> str:
@@ -76,7 +77,7 @@ def canonical_text(df: DataFrame, column: str, out: str = "form") -> DataFrame:
         for part in batches:
             names = part.column(at).cast(pa.string())
             con.register("batch", pa.table({"i": pa.array(range(len(names)), pa.int32()), "name": names}))
-            form = con.execute(sql).to_arrow_table().column("form").combine_chunks()
+            form = con.sql(sql).to_arrow_table().column("form").combine_chunks()
             con.unregister("batch")
             form = form if isinstance(form, pa.Array) else pa.concat_arrays(form.chunks) if form.num_chunks else pa.array([], pa.string())
             yield pa.RecordBatch.from_arrays([*part.columns, form.cast(pa.string())], names=[*part.schema.names, out])
@@ -91,9 +92,8 @@ def look_alike_pairs(df: DataFrame, key: str, column: str) -> DataFrame:
     Repeated rows of a key count once; null texts pair with nothing. Texts that only repeat are never paired: the
     distinct spellings of a form are paired first, and only those pairs meet the rows, so the work follows the result.
     """
-    rows = canonical_text(df.select(F.col(key), F.col(column)).where(F.col(column).isNotNull()), column).select(
-        F.col(key).alias("k"), F.col(column).alias("t"), F.col("form").alias("f")
-    )
+    rows = canonical_text(df.select(F.col(key).alias("k"), F.col(column).alias("t")).where(F.col(column).isNotNull() & F.col(key).isNotNull()), "t", "f")
+    rows = stored(rows, "forms")  # read three times; the embedded SQL runs once
     spelling = rows.groupBy("f").agg(F.min("t").alias("lo"), F.max("t").alias("hi")).where("lo < hi").select("f")
     kept = rows.join(spelling, "f", "left_semi").distinct()
     texts = kept.select("f", "t").distinct()
