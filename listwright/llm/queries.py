@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from listwright.llm.components import connected_components, link_edges, member_edges
 from listwright.llm.glyphs import look_alike_pairs
 from listwright.runtime import table
 
@@ -13,5 +14,22 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "phase2_before_after"), "row_id", "product_name")
 
 
-QUERIES = {"p1_found": p1_found}
-ORACLES: dict[str, str] = {}
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of every listing that an accepted pair or a common cluster links to another one."""
+    pairs = table(spark, sf_dir, "phase5_pairs").where("label")
+    clusters = table(spark, sf_dir, "phase6_canonical_names")
+    edges = link_edges(pairs, "i", "j").union(member_edges(clusters, "member_ids"))
+    return connected_components(edges).withColumnRenamed("id", "row_id")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+ORACLES: dict[str, str] = {
+    "p4_found": """
+WITH RECURSIVE e AS (
+  SELECT DISTINCT i AS a, j AS b FROM phase5_pairs WHERE label AND i IS NOT NULL AND j IS NOT NULL AND i <> j
+  UNION SELECT DISTINCT x.m, y.m FROM (SELECT member_ids[1] AS h, unnest(member_ids) AS m, cluster_id FROM phase6_canonical_names) x
+  JOIN (SELECT unnest(member_ids) AS m, cluster_id FROM phase6_canonical_names) y ON x.cluster_id = y.cluster_id AND x.m <> y.m),
+s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+r(id, low) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, r.low FROM r JOIN s ON s.a = r.id WHERE r.low < s.b)
+SELECT id AS row_id, min(low) AS group_id FROM r GROUP BY id""",
+}
