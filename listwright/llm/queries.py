@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
+from listwright.llm.bpe import token_ids
 from listwright.llm.components import connected_components, link_edges, member_edges
 from listwright.llm.glyphs import look_alike_pairs
 from listwright.runtime import table
@@ -22,7 +25,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(edges).withColumnRenamed("id", "row_id")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found}
+#: Folder of the public vocabulary files, and the pre-token pattern that byte_bpe_50k is used with.
+VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The byte_bpe_50k ids of every document."""
+    return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text", f"{VOCABULARIES}/byte_bpe_50k.json", PRE_TOKENS)
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids}
 ORACLES: dict[str, str] = {
     "p4_found": """
 WITH RECURSIVE e AS (
