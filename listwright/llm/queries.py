@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from listwright.llm.bpe import token_ids
 from listwright.llm.components import connected_components, link_edges, member_edges
 from listwright.llm.glyphs import look_alike_pairs
+from listwright.llm.leakage import leaked_items
 from listwright.runtime import table
 
 
@@ -35,7 +36,13 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), "doc_id", "text", f"{VOCABULARIES}/byte_bpe_50k.json", PRE_TOKENS)
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids}
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the evaluation items that it holds a passage of."""
+    documents, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark_items")
+    return leaked_items(documents, items, "doc_id", "text", "item_id", "text", "lang")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
 ORACLES: dict[str, str] = {
     "p4_found": """
 WITH RECURSIVE e AS (
