@@ -10,6 +10,7 @@ from listwright.llm.bpe import token_ids
 from listwright.llm.components import connected_components, link_edges, member_edges
 from listwright.llm.glyphs import look_alike_pairs
 from listwright.llm.leakage import leaked_items
+from listwright.llm.sentences import sentences
 from listwright.runtime import table
 
 
@@ -42,7 +43,12 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(documents, items, "doc_id", "text", "item_id", "text", "lang")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found}
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentences of every document."""
+    return sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {
     "p4_found": """
 WITH RECURSIVE e AS (
