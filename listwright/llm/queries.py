@@ -10,6 +10,7 @@ from listwright.llm.bpe import token_ids
 from listwright.llm.components import connected_components, link_edges, member_edges
 from listwright.llm.glyphs import look_alike_pairs
 from listwright.llm.leakage import leaked_items
+from listwright.llm.linkage import product_groups, product_pairs
 from listwright.llm.sentences import sentences
 from listwright.runtime import table
 
@@ -19,6 +20,11 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "phase2_before_after"), "row_id", "product_name")
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every two listings of one product."""
+    return product_pairs(product_groups(table(spark, sf_dir, "phase2_before_after"), "row_id"), "row_id")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The group of every listing that an accepted pair or a common cluster links to another one."""
     pairs = table(spark, sf_dir, "phase5_pairs").where("label")
@@ -48,7 +54,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {
     "p4_found": """
 WITH RECURSIVE e AS (
