@@ -12,6 +12,7 @@ from listwright.llm.glyphs import look_alike_pairs
 from listwright.llm.leakage import leaked_items
 from listwright.llm.linkage import product_groups, product_pairs
 from listwright.llm.sentences import sentences
+from listwright.llm.survivors import clear_fields
 from listwright.runtime import table
 
 
@@ -33,6 +34,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return connected_components(edges).withColumnRenamed("id", "row_id")
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The clear surviving values of every cluster, field by field."""
+    return clear_fields(*(table(spark, sf_dir, t) for t in ("phase6_canonical_names", "phase2_before_after", "catalogue_sources")))
+
+
 #: Folder of the public vocabulary files, and the pre-token pattern that byte_bpe_50k is used with.
 VOCABULARIES = os.environ.get("TOKENIZER_DIR", "/opt/tokenizers")
 PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -54,7 +60,7 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
 ORACLES: dict[str, str] = {
     "p4_found": """
 WITH RECURSIVE e AS (
