@@ -44,7 +44,9 @@ def _vocabulary() -> tuple[list, list, dict[str, str], dict[str, list[str]], fro
 
 
 def _one_edit(a: str, b: str) -> bool:
-    """At most one insertion, deletion, substitution or swap of neighbours apart."""
+    """At most one insertion, deletion, substitution or swap of neighbours apart; words of four letters need the same letters or one more or less."""
+    if len(a) == len(b) <= 4 and sorted(a) != sorted(b):
+        return False
     k = 0
     while k < min(len(a), len(b)) and a[k] == b[k]:
         k += 1
