@@ -12,18 +12,13 @@ remaining edges take part in the propagation. The result is the same, the number
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from listwright.operators.graph import both_ways, link_edges, star_labels
 from listwright.runtime import checkpoint
 
 
-def link_edges(pairs: DataFrame, i: str, j: str) -> DataFrame:
-    """Distinct undirected edges ``u < v`` of a pair table; rows with a missing id or equal ids link nothing."""
-    ok = F.col(i).isNotNull() & F.col(j).isNotNull() & (F.col(i) != F.col(j))
-    return pairs.where(ok).select(F.least(i, j).alias("u"), F.greatest(i, j).alias("v")).distinct()
-
-
 def member_edges(groups: DataFrame, members: str) -> DataFrame:
     """Edges from the smallest member of each group to its other members, which connect it with fewest rows."""
     ids = F.array_distinct(F.filter(F.col(members), lambda x: x.isNotNull()))
@@ -31,45 +26,9 @@ def member_edges(groups: DataFrame, members: str) -> DataFrame:
     return each.where("u < v").distinct()
 
 
-def _both(edges: DataFrame) -> DataFrame:
-    return edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-
-
-def _large_star(edges: DataFrame) -> DataFrame:
-    """Links every larger neighbour of a vertex to the smallest of the vertex and its neighbours."""
-    both = _both(edges)
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    return both.where("v > u").join(low, "u").select(F.col("m").alias("u"), "v").where("u < v").distinct()
-
-
-def _small_star(edges: DataFrame) -> DataFrame:
-    """Links a vertex and its smaller neighbours to the smallest of them. Edges run u < v."""
-    low = edges.groupBy("v").agg(F.min("u").alias("m"))
-    met = edges.join(low, "v")
-    return met.select(F.col("m").alias("u"), F.explode(F.array("u", "v")).alias("v")).where("u < v").distinct()
-
-
-def _mark(edges: DataFrame) -> tuple[int, ...]:
-    """Count and order-free checksums; equal marks mean equal edge sets."""
-    mix: Column = F.xxhash64("u", "v")
-    row = edges.agg(F.count("*"), F.coalesce(F.sum(mix % 1_000_003), F.lit(0)), F.coalesce(F.bit_xor(mix), F.lit(0))).first()
-    return tuple(row)
-
-
-def _stars(edges: DataFrame, rounds: int) -> DataFrame:
-    """``v, u``: every vertex but the smallest of its component, with that smallest vertex."""
-    mark = None
-    for _ in range(rounds):
-        edges = checkpoint(_small_star(_large_star(edges)))
-        if (now := _mark(edges)) == mark:
-            return edges
-        mark = now
-    raise RuntimeError(f"no fixed point after {rounds} rounds")
-
-
 def _peel(edges: DataFrame, share: float, depth: int) -> tuple[DataFrame, DataFrame] | None:
     """(reached vertices ``x``, the other edges with the reached part contracted); null without edges."""
-    both = _both(edges)
+    both = both_ways(edges)
     top = both.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).select(F.col("u").alias("x"))
     reached = frontier = checkpoint(top)
     if not (total := frontier.count()):
@@ -104,8 +63,6 @@ def connected_components(edges: DataFrame, rounds: int = 60, share: float = 0.05
     if peeled is None:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
     reached, left = peeled
-    stars = _stars(left, rounds)
-    labels = stars.select(F.col("v").alias("id"), F.col("u").alias("group_id"))
-    labels = labels.union(stars.select(F.col("u").alias("id"), F.col("u").alias("group_id")).distinct())
+    labels = star_labels(left, rounds)
     giant = reached.join(labels.withColumnRenamed("id", "root"), "root", "left").select(F.col("x").alias("id"), F.coalesce("group_id", "root").alias("group_id"))
     return giant.union(labels.join(reached.select(F.col("x").alias("id")), "id", "left_anti"))

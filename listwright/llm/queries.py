@@ -7,12 +7,13 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 
 from listwright.llm.bpe import token_ids
-from listwright.llm.components import connected_components, link_edges, member_edges
+from listwright.llm.components import connected_components, member_edges
 from listwright.llm.glyphs import look_alike_pairs
 from listwright.llm.leakage import leaked_items
 from listwright.llm.linkage import product_groups, product_pairs
 from listwright.llm.sentences import sentences
 from listwright.llm.survivors import clear_fields
+from listwright.operators.graph import link_edges
 from listwright.runtime import table
 
 
