@@ -173,7 +173,7 @@ def lemmatize(text: Column) -> Column:
 
 
 _UNITS = "|".join(re.escape(s) for s in sorted((s for s in spellings() if s.isascii() and s[0].isalpha()), key=len, reverse=True))
-_QUANTITY = re.compile(rf'(?<![\w.])(\d+[ -]\d+/\d+|\d+/\d+|\d[\d,]*(?:\.\d+)?|\.\d+)\s*({_UNITS}|")\b?(?![a-z])')
+_QUANTITY = re.compile(rf'(?<![\w.])(\d+[ -]\d+/\d+|\d+/\d+|\d[\d,]*(?:\.\d+)?|\.\d+)\s*({_UNITS}|")(?![a-z])')
 
 
 def _shown(x: float) -> str:
@@ -236,6 +236,6 @@ def pack_count(text: Column) -> Column:
 
 def first_quantity(text: Column) -> tuple[Column, Column]:
     """(number, unit spelling) of the first mass, volume or length in an ASCII text, for a join with the conversion table."""
-    pattern = rf"([0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*({_UNITS})\b"
+    pattern = rf"([0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*({_UNITS})(?:[^a-z0-9]|$)"
     low = F.lower(text)
     return F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).try_cast("double"), F.nullif(F.regexp_extract(low, pattern, 2), F.lit(""))

@@ -178,7 +178,7 @@ def classification_metrics(df: DataFrame, gold: str, pred: str) -> DataFrame:
     """``n, accuracy, macro_f1, invalid``; a null prediction counts as its own wrong class."""
     d = df.where(F.col(gold).isNotNull()).select(F.col(gold).cast("string").alias("g"), F.coalesce(F.col(pred).cast("string"), F.lit("INVALID")).alias("p"))
     cell = d.groupBy("g", "p").count()
-    sides = cell.select(F.explode(F.array(F.struct(F.col("g").alias("c"), F.lit("g").alias("s"), F.col("count").alias("n")), F.struct(F.col("p"), F.lit("p"), F.col("count")))).alias("x"), (F.col("g") == F.col("p")).alias("ok")).select("x.*", "ok")
+    sides = cell.select(F.explode(F.array(F.struct(F.col("g").alias("c"), F.lit("g").alias("s"), F.col("count").alias("n")), F.struct(F.col("p").alias("c"), F.lit("p").alias("s"), F.col("count").alias("n")))).alias("x"), (F.col("g") == F.col("p")).alias("ok")).select("x.*", "ok")
     per = sides.groupBy("c").agg(F.sum(F.when(F.col("ok") & (F.col("s") == "g"), F.col("n")).otherwise(0)).alias("tp"), F.sum("n").alias("both"))
     whole = cell.agg(F.sum("count").alias("n"), F.round(F.sum(F.when(F.col("g") == F.col("p"), F.col("count")).otherwise(0)) / F.sum("count"), 4).alias("accuracy"), F.sum(F.when(F.col("p") == "INVALID", F.col("count")).otherwise(0)).alias("invalid"))
     return whole.crossJoin(per.agg(F.round(F.avg(2 * F.col("tp") / F.col("both")), 4).alias("macro_f1"))).select("n", "accuracy", "macro_f1", "invalid")  # single rows

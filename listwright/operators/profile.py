@@ -31,7 +31,7 @@ def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
 
 def unit_mentions(df: DataFrame, name: str) -> DataFrame:
     """``unit, count``: how often each unit spelling follows a number, spellings kept apart."""
-    pattern = rf"[0-9]\s*({UNIT_WORDS.replace(' ', '|')})\b"
+    pattern = rf"[0-9]\s*({UNIT_WORDS.replace(' ', '|')})(?:[^a-z0-9]|$)"
     found = df.select(F.explode(F.regexp_extract_all(F.lower(name), F.lit(pattern), 1)).alias("unit"))
     return found.groupBy("unit").count()
 

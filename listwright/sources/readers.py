@@ -32,7 +32,10 @@ def read_catalogue_csv(spark: SparkSession, path: str, index_column: str | None
 
 def pick_name(names, languages: tuple[str, ...] = ("en", "main")):
     """Of an ``array<struct<lang,text>>`` the text in the first listed language that is there, else the first text."""
-    by = [F.get(F.filter(names, lambda x, lang=lang: x["lang"] == lang), F.lit(0))["text"] for lang in languages]
+    def speaks(lang: str):
+        return lambda x: x["lang"] == F.lit(lang)
+
+    by = [F.get(F.filter(names, speaks(lang)), F.lit(0))["text"] for lang in languages]
     return F.coalesce(*by, F.get(names, F.lit(0))["text"])
 
 
