@@ -15,7 +15,8 @@ _MARKS = {cp: None for cp in range(0x300, 0x370)}
 _TOKEN = re.compile(r"[ऀ-ॣॱ-ॿ]+|[^\W\d_ऀ-ॿ]+(?:['-][^\W\d_ऀ-ॿ]+)*")
 _PACKED = re.compile(rf"\b(?:{PACK_OF.replace(' ', '|')}) of \d+")
 _CODES = re.compile(r"\b(24k gold)\b|\b(spf) ?(\d{1,3})\b|\b(\d) in (1)\b|\b(\d{1,4}) ?(gb|tb)\b|\bmodel ([a-z]\d{1,4})\b|(?<![\w.,])([345]g)\b(?!\.)")
-_PROMOTIONS = re.compile("|".join(rf"(?<![^\s(\[|]){re.escape(p.strip())}(?=$|[\s)\]|,])" for p in re.split("[;\n]", PROMOTIONS) if p.strip()))
+_PROMOTIONS = [(p.strip(), re.compile(rf"(?<![^\s(\[|]){re.escape(p.strip())}(?=$|[\s)\]|,])")) for p in re.split("[;\n]", PROMOTIONS) if p.strip()]
+_CODE_HINTS = ("24k", "spf", "in 1", "gb", "tb", "model ", "3g", "4g", "5g")
 
 
 def bare(text: str) -> str:
@@ -23,6 +24,14 @@ def bare(text: str) -> str:
     return text if text.isascii() else unicodedata.normalize("NFD", text).translate(_MARKS)
 
 
+def without_promotions(text: str) -> str:
+    """A text without promotional phrases; a phrase is only searched for where its characters occur."""
+    for phrase, pattern in _PROMOTIONS:
+        if phrase in text:
+            text = pattern.sub(" ", text)
+    return text
+
+
 def _lines(block: str) -> list[list[tuple[str, ...]]]:
     return [[tuple(_TOKEN.findall(bare(p.strip()))) for p in line.split(";") if p.strip()] for line in block.strip().split("\n")]
 
@@ -120,14 +129,16 @@ def read(name: str | None) -> tuple[str | None, str, tuple[str, float] | None, l
         return None, "", None, [], "", ""
     text = plain(name)
     main, _, added = text.partition(" + ")
-    main = bare(_PROMOTIONS.sub(" ", main))
+    main = bare(without_promotions(main))
     extra = []
 
     def code(m: re.Match) -> str:
         extra.append(" ".join(g for g in m.groups() if g))
         return " "
 
-    rest_text = _CODES.sub(code, _PACKED.sub(" ", main))
+    rest_text = _PACKED.sub(" ", main) if " of " in main else main
+    if any(h in rest_text for h in _CODE_HINTS):
+        rest_text = _CODES.sub(code, rest_text)
     known, over = [], []
     for token in _TOKEN.findall(rest_text):
         words = _words(token)
@@ -158,7 +169,7 @@ def _factors() -> dict[str, tuple[str, float]]:
 
 def article(text: str) -> str:
     """The added article of a bundle in one form: its words without promotions."""
-    return " ".join(re.findall(r"[^\W_]+", bare(_PROMOTIONS.sub(" ", text))))
+    return " ".join(re.findall(r"[^\W_]+", bare(without_promotions(text)))) if text else ""
 
 
 def usable(text: str | None) -> str | None:
