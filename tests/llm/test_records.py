@@ -80,8 +80,8 @@ def test_weights_separate_matches():
     post = fit_weights(patterns, [0.1, 0.05, 0.02])
     assert post[True, True, True] > 0.99 and post[None, True, True] > 0.9
     assert all(post[True, True, True] >= w for w in post.values())
-    few = fit_weights([((True, True, True), 9.0), ((True, False, True), 4e4), ((False, False, True), 3e6)], [0.1, 0.05, 0.02])
-    assert few[True, True, True] > 0.5 > few[False, False, True]
+    few = fit_weights([((True, True, True), 9.0), ((True, False, True), 4e4), ((False, True, False), 3e6)], [0.1, 0.5, 0.02])
+    assert few[True, True, True] > 0.5 > few[False, True, False]
     assert fit_weights([], [0.5]) == {}
 
 
