@@ -239,3 +239,17 @@ def first_quantity(text: Column) -> tuple[Column, Column]:
     pattern = rf"([0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*({_UNITS})(?:[^a-z0-9]|$)"
     low = F.lower(text)
     return F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).try_cast("double"), F.nullif(F.regexp_extract(low, pattern, 2), F.lit(""))
+
+
+def norm_value(attribute: str, value: Column) -> Column:
+    """A slot value in comparable form: counts as their number, quantities in canonical units, other values in lower case with single blanks."""
+    low = F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")
+    if attribute == "pack_count":
+        return F.nullif(F.regexp_extract(low, "([0-9]+)", 1), F.lit(""))
+    if attribute == "quantity":
+        number, unit = first_quantity(low)
+        table = F.create_map(*[F.lit(x) for s, u in spellings().items() if s.isascii() for x in (s, compositions()[u][0])])
+        factor = F.create_map(*[F.lit(x) for s, u in spellings().items() if s.isascii() for x in (s, float(compositions()[u][1]))])
+        amount = F.round(number * F.try_element_at(factor, unit), 3)
+        return F.when(amount.isNotNull(), F.concat_ws(" ", amount.cast("string"), F.try_element_at(table, unit))).otherwise(low)
+    return low

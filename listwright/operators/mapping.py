@@ -67,6 +67,40 @@ def map_headers(headers: DataFrame, scores: DataFrame | None = None, answers: Da
     return out.join(best, "header", "left").select("header", F.when(sure | answer.isNull(), F.coalesce("b.field", F.lit("other"))).otherwise(answer).alias("predicted"), F.when(sure | answer.isNull(), "embedding").otherwise("model").alias("decided_by"))
 
 
+# What each canonical field holds, in words that an encoder can compare with a header and its values.
+MEANINGS = """
+product_name: product name or item title
+brand: brand or manufacturer of the product
+category: product category or department
+sub_category: product sub category
+price: selling price amount
+mrp: list price or maximum retail price
+quantity: pack size quantity weight volume
+description: long product description text
+rating: customer rating stars
+id: unique product identifier code
+other: url image timestamp or other data
+"""
+
+
+def embedding_scores(headers: DataFrame, encoder, samples: DataFrame | None = None) -> DataFrame:
+    """``header, field, score``: cosine of each header, with its sample values if given, to the meaning of every field.
+
+    ``samples(header, value)``. There are as many meanings as fields, so the pairing is a handful of rows a header.
+    """
+    from listwright.operators.vectors import dot, encoded
+
+    spark = headers.sparkSession
+    texts = headers.select("header").distinct().withColumn("text", F.array_join(header_tokens(F.col("header")), " "))
+    if samples is not None:
+        joined = samples.groupBy("header").agg(F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("values"))
+        texts = texts.join(joined, "header", "left").withColumn("text", F.concat_ws(": ", "text", "values"))
+    meanings = spark.createDataFrame([tuple(x.split(": ")) for x in MEANINGS.strip().split("\n")], "field string, meaning string")
+    a = encoded(texts, "header", "text", encoder, "a")
+    b = encoded(meanings, "field", "meaning", encoder, "b")
+    return a.crossJoin(F.broadcast(b)).select("header", "field", F.round(dot(F.col("a"), F.col("b")), 4).alias("score"))  # a row per field
+
+
 def sample_values(df: DataFrame, column: str, n: int = 5, chars: int = 60, seed: int = 42) -> DataFrame:
     """``value``: up to n distinct non-empty values, cut to a length, chosen by a seeded hash of the value."""
     v = F.trim(F.col(f"`{column}`").cast("string"))

@@ -88,3 +88,26 @@ def canonical_names(clusters: DataFrame, provider: Provider, most: int = 10, lon
     prompt = F.concat(F.lit("One name for: "), F.array_join(F.slice("members", 1, most), " | "))
     met, _ = ask(clusters.withColumn("prompt", prompt), "prompt", provider, lambda r: isinstance(r.get("name"), str) and 0 < len(r["name"]) <= longest)
     return met.select("cluster_id", F.coalesce(json_field(F.col("response"), "name"), F.col("medoid_name")).alias("name"))
+
+
+def adjudicate(pairs: DataFrame, left: str, right: str, provider: Provider, **how) -> DataFrame:
+    """``pairs`` with ``same`` and ``reason`` from a provider; null where no valid reply came (a boolean and at most 200 characters)."""
+    prompt = F.concat(F.lit("Same product? A: "), F.col(left), F.lit(" B: "), F.col(right))
+    valid = lambda r: isinstance(r.get("same"), bool) and len(str(r.get("reason", ""))) <= 200
+    met, _ = ask(pairs.withColumn("_prompt", prompt), "_prompt", provider, valid, out="_reply", **how)
+    return met.withColumns({"same": json_field(F.col("_reply"), "same", "boolean"), "reason": json_field(F.col("_reply"), "reason")}).drop("_prompt", "_reply")
+
+
+def header_fields(headers: DataFrame, samples: DataFrame, provider: Provider, fields: list[str], **how) -> DataFrame:
+    """``header, field``: a provider's choice among fields for each header with its ``samples(header, value)``; invalid choices are null."""
+    shown = samples.groupBy("header").agg(F.array_join(F.array_sort(F.collect_set("value")), ", ").alias("values"))
+    asked = headers.select("header").distinct().join(shown, "header", "left").withColumn("prompt", F.concat_ws(" ", F.lit("Field of column"), "header", F.lit("with values"), "values"))
+    met, _ = ask(asked, "prompt", provider, lambda r: r.get("field") in fields, **how)
+    return met.select("header", json_field(F.col("response"), "field").alias("field"))
+
+
+def rewrites(df: DataFrame, key: str, name: str, pattern: str, provider: Provider, **how) -> DataFrame:
+    """``key, rewritten``: a provider's rewriting of the names that match a pattern; null where no valid reply came."""
+    asked = df.where(F.col(name).rlike(pattern)).select(key, F.concat(F.lit("Rewrite: "), F.col(name)).alias("prompt"))
+    met, _ = ask(asked, "prompt", provider, lambda r: bool(str(r.get("text") or "").strip()), **how)
+    return met.select(key, json_field(F.col("response"), "text").alias("rewritten"))

@@ -6,8 +6,9 @@ import json
 
 from pyspark.sql import functions as F
 
-from listwright.operators import clustering, graph, matching, providers, vectors
-from listwright.plans.pipeline import run, search
+from listwright.functions import text as T
+from listwright.operators import clustering, graph, mapping, matching, providers, vectors
+from listwright.plans.pipeline import run, run_benchmark, search
 from listwright.plans.tables import L, ONCE, listings
 from listwright.runtime import table
 
@@ -289,9 +290,46 @@ def category_batches(spark, sf_dir):
     return providers.batch_labels(asked, [*"abcdefghijklmnopqrstuvwxyz"]).groupBy("label").agg(F.count("*").alias("n"))
 
 
+def adjudicate_names(spark, sf_dir):
+    names = listings(spark, sf_dir).select("row_id", "name_clean")
+    zone = matching.grey_zone(_hybrid(spark, sf_dir), 0.7).select("i", "j").join(names.select(F.col("row_id").alias("i"), F.col("name_clean").alias("a")), "i").join(names.select(F.col("row_id").alias("j"), F.col("name_clean").alias("b")), "j")
+    return providers.adjudicate(zone, "a", "b", lambda p: json.dumps({"same": p.count("kg") % 2 == 0, "reason": "stub"})).select("i", "j", "same")
+
+
+def hinglish_rewrites(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    return providers.rewrites(df, "p_partkey", "p_name", "red|blue", lambda p: json.dumps({"text": p[9:].upper()}))
+
+
+def header_scores(spark, sf_dir):
+    headers = spark.createDataFrame([("product_title",), ("selling_price",), ("brand_name",)], "header string")
+    return mapping.map_headers(headers, mapping.embedding_scores(headers, vectors.hashed_encoder()), threshold=0.3)
+
+
+def slot_values(spark, sf_dir):
+    return table(spark, sf_dir, L).where("quantity is not null").select("row_id", T.norm_value("quantity", F.col("quantity")).alias("quantity"), T.norm_value("pack_count", F.col("pack_count").cast("string")).alias("pack"), T.norm_value("brand", F.col("brand")).alias("brand")).distinct()
+
+
+def threshold_grid(spark, sf_dir):
+    gold = listings(spark, sf_dir).where("brand is not null").select(F.col("row_id").alias("id"), F.lower(F.trim("brand")).alias("gold"))
+    return clustering.threshold_grid(_hybrid(spark, sf_dir), gold, [0.6, 0.8])
+
+
+def topics(spark, sf_dir):
+    return clustering.topics(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 10)
+
+
 # the whole
 
 
+def two_table_benchmark(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_size")
+    first = df.groupBy("p_name", "p_size").agg(F.min("id").alias("id"))
+    a = first.select("id", F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("kg")).alias("text"), F.lit(None).cast("string").alias("brand"))
+    b = first.select("id", F.concat(F.upper("p_name"), F.lit("  "), (F.col("p_size") * 1000).cast("string"), F.lit(" gm")).alias("text"), F.lit(None).cast("string").alias("brand"))
+    return run_benchmark(a, b, first.select(F.col("id").alias("i"), F.col("id").alias("j"))).test
+
+
 def dedupe_pipeline(spark, sf_dir):
     df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("kg")).alias("title"), F.col("p_brand").alias("brand"))
     return run(df, key="sku").clusters
@@ -305,7 +343,7 @@ def pipeline_search(spark, sf_dir):
 _LIST = """word_tfidf char_tfidf word_tfidf_topk dense_topk retrieval_metrics semantic_search categorize_centroid token_set_ratio encoded_names skip_gram_vectors
 block_topk_union block_brand self_block blocking_quality pair_features hybrid_score catalogue_score tune_grid best_threshold pair_prf split_ids stratified_pairs
 ablation_pivot grey_zone_band grey_zone_budget adjudicated_pairs classification_metrics per_class_sample components threshold_components agglomerative
-resplit_components density_clusters cluster_metrics cluster_sizes medoids ask_json canonical_names category_batches dedupe_pipeline pipeline_search"""
+resplit_components density_clusters cluster_metrics cluster_sizes medoids ask_json canonical_names category_batches adjudicate_names hinglish_rewrites header_scores slot_values threshold_grid topics two_table_benchmark dedupe_pipeline pipeline_search"""
 QUERIES = {n: globals()[n] for n in _LIST.split()}
 
 _F1 = lambda tp, fp, fn: f"round(coalesce(2.0 * {tp} / nullif(2 * {tp} + {fp} + {fn}, 0), 0.0), 3)"
@@ -347,5 +385,14 @@ x AS (SELECT (SELECT sum(c) FROM c) AS n, (SELECT sum(c * (c - 1) / 2) FROM c) A
 SELECT n::BIGINT AS n, (SELECT count(*) FROM ck) AS gold_clusters, (SELECT count(*) FROM cp) AS pred_clusters, round((c2 - k2 * p2 / (n * (n - 1) / 2)) / ((k2 + p2) / 2 - k2 * p2 / (n * (n - 1) / 2)), 4) AS ari, round(2 * (ln(n) - kl / n + ln(n) - pl / n - ln(n) + cl / n) / (2 * ln(n) - kl / n - pl / n), 4) AS nmi FROM x""",
     "cluster_sizes": _reach(f"SELECT DISTINCT i AS a, j AS b FROM {P} WHERE label AND i IS NOT NULL AND j IS NOT NULL AND i <> j") + ", z AS (SELECT count(*) AS n FROM g GROUP BY group_id) SELECT count(*) AS clusters, count(*) FILTER (n > 1) AS multi_member, coalesce(sum(n) FILTER (n > 1), 0) AS records_in_multi, max(n) AS largest FROM z",
     "medoids": f"SELECT label, vec_id FROM (SELECT a.label, a.vec_id, row_number() OVER (PARTITION BY a.label ORDER BY round(sum({_DOT.replace(', 4)', ', 12)')}), 6) DESC, a.vec_id) AS n FROM embeddings a JOIN embeddings b ON a.label = b.label GROUP BY a.label, a.vec_id) WHERE n = 1",
+    "hinglish_rewrites": "SELECT p_partkey, upper(p_name) AS rewritten FROM part WHERE regexp_matches(p_name, 'red|blue')",
+    "threshold_grid": " UNION ALL ".join(
+        f"SELECT {t}::DOUBLE AS threshold, clusters, ari FROM ("
+        + _reach(f"SELECT i AS a, j AS b FROM {HYBRID} WHERE score >= {t}")
+        + f""", d AS (SELECT lower(trim(brand)) AS k, coalesce(group_id, row_id) AS p FROM {ONCE} o LEFT JOIN g ON g.id = o.row_id WHERE brand IS NOT NULL), c AS (SELECT k, p, count(*)::DOUBLE AS c FROM d GROUP BY k, p),
+x AS (SELECT (SELECT sum(c) FROM c) AS n, (SELECT sum(c * (c - 1) / 2) FROM c) AS c2, (SELECT sum(c * (c - 1) / 2) FROM (SELECT sum(c) AS c FROM c GROUP BY k)) AS k2, (SELECT sum(c * (c - 1) / 2) FROM (SELECT sum(c) AS c FROM c GROUP BY p)) AS p2)
+SELECT (SELECT count(DISTINCT p) FROM d) AS clusters, round((c2 - k2 * p2 / (n * (n - 1) / 2)) / ((k2 + p2) / 2 - k2 * p2 / (n * (n - 1) / 2)), 6) AS ari FROM x)"""
+        for t in (0.6, 0.8)
+    ),
     "ask_json": "SELECT p_partkey, CASE WHEN (length(p_name) + 14) % 11 <> 0 THEN p_name END AS name FROM part",
 }
