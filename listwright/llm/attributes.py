@@ -62,6 +62,11 @@ def _one_edit(a: str, b: str) -> bool:
     return a[k + 1 :] == b[k + 1 :] or a[k + 1 :] == b[k:] or a[k:] == b[k + 1 :] or (a[k : k + 2] == b[k : k + 2][::-1] and a[k + 2 :] == b[k + 2 :])
 
 
+def known_word(token: str) -> bool:
+    """Is a word part of the vocabulary as it stands?"""
+    return bare(token) in _vocabulary()[2]
+
+
 @lru_cache(1 << 16)
 def _words(token: str) -> tuple[str, ...]:
     """The vocabulary words that a token may stand for, itself first, then those one edit off; '' for one to pass over."""

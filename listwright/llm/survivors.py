@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from listwright.functions.quantity import amounts_in, packs_in, plain
+from listwright.functions.quantity import amounts_in, packs_in, plain, spellings
 from listwright.llm import attributes
 from listwright.llm.lexicon import FILLERS
 from listwright.llm.linkage import TOLERANCE, parsed_listings
@@ -103,15 +103,19 @@ _CUT = re.compile(r"(?:…|\.\.\.|[-–—,/&|+(\[])\s*$")
 
 
 def cut_off(name: str, others: list[str]) -> bool:
-    """Ends with a mark of omission, a joiner or an open bracket, or in the middle of a word that the others spell out."""
+    """Ends with a mark of omission, a joiner or an open bracket, in the middle of a word that the others spell out, or
+    before the kind or variant that the others name.
+    """
     text = plain(name)
     if _CUT.search(text) or text.count("(") > text.count(")") or text.count("[") > text.count("]"):
         return True
     last = re.search(r"[^\W\d_]+$", text)
-    if not last:
-        return False
-    words = {w for o in others for w in re.findall(r"[^\W\d_]+", plain(o))}
-    return last[0] not in words and any(w.startswith(last[0]) for w in words)
+    if last and last[0] not in spellings() and not attributes.known_word(last[0]):
+        words = {w for o in others for w in re.findall(r"[^\W\d_]+", plain(o))}
+        if last[0] not in words and any(w.startswith(last[0]) for w in words):
+            return True
+    kind, variant = attributes.read(name)[:2]
+    return not (kind and variant) and any(k and v or k and not kind for k, v in (attributes.read(o)[:2] for o in others))
 
 
 def sound(name: str | None, other: str | None, members: list[str], brand: str, base: str | None, amount: float | None, pack: int) -> bool:

@@ -170,6 +170,8 @@ def test_names():
     assert not ask(good.replace("Set of 2", "Set of 3")) and not ask(good, pack=1)
     assert not ask("Norvane Taihostibra Hand W") and not ask(None) and not ask(" ") and not ask("N/A")
     assert cut_off("Norvane Taiho…", []) and cut_off("Norvane Hand-", []) and cut_off("Norvane (Set", []) and not cut_off("Norvane Rose", ["Rose"])
+    assert not cut_off("Norvane Taihostibra Hand Wash Rose 500 g", ["Norvane Taihostibra Hand Wash Rose 500 gms"])
+    assert cut_off("Norvane Taihostibra Salted", ["Taihostibra Salted Butter Classic"]) and cut_off("Norvane Taihostibra Hand Wash", ["Taihostibra Hand Wash Rose"])
 
 
 def test_clear_fields(spark):
