@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 #: Characters of text that are tokenized at a time.
 SLICE_CHARS = 1 << 21
-_MASK = (1 << 64) - 1
+_MASK, _STEP = (1 << 64) - 1, 0x9E3779B97F4A7C15
 
 
 class PerfectHash:
@@ -44,27 +44,36 @@ class PerfectHash:
         for key in entries:
             h = xxhash.xxh3_64_intdigest(key)
             groups[h % self.buckets].append((h, key))
-        taken, free = bytearray(n), iter(range(n))
+        taken, at = np.zeros(n, bool), 0
         for b in sorted(range(self.buckets), key=lambda b: -len(groups[b])):
             group = groups[b]
             if len(group) > 1:
-                d = 0
-                while True:
-                    d += 1
-                    slots = [self._slot(h, d) for h, _ in group]
-                    if len({*slots}) == len(slots) and not any(taken[s] for s in slots):
+                low = np.array([h >> 20 for h, _ in group], np.uint64)[:, None]
+                step = np.array([((h >> 7) | 1) * _STEP & _MASK for h, _ in group], np.uint64)[:, None]
+                first, width = 1, 32
+                while True:  # displacements are tried in widening runs
+                    slots = (low + step * np.arange(first, first + width, dtype=np.uint64)) % np.uint64(n)
+                    good = ~taken[slots].any(axis=0)
+                    if good.any():
+                        order = np.sort(slots[:, good], axis=0)
+                        good[good] = (order[1:] != order[:-1]).all(axis=0)
+                    if good.any():
+                        k = int(np.argmax(good))
+                        self.move[b], chosen = first + k, slots[:, k].tolist()
                         break
-                self.move[b] = d
+                    first, width = first + width, min(width * 2, 8192)
             elif group:
-                slots = [next(s for s in free if not taken[s])]
-                self.move[b] = -1 - slots[0]
+                while taken[at]:
+                    at += 1
+                chosen = [at]
+                self.move[b] = -1 - at
             else:
-                slots = []
-            for s, (_, key) in zip(slots, group, strict=True):
-                taken[s], self.keys[s], self.values[s] = 1, key, entries[key]
+                continue
+            for slot, (_, key) in zip(chosen, group, strict=True):
+                taken[slot], self.keys[slot], self.values[slot] = True, key, entries[key]
 
     def _slot(self, h: int, d: int) -> int:
-        return ((h >> 20) + d * ((h >> 7) | 1) * 0x9E3779B97F4A7C15 & _MASK) % self.n
+        return ((h >> 20) + d * (((h >> 7) | 1) * _STEP & _MASK) & _MASK) % self.n
 
     def get(self, key: bytes) -> int | None:
         """The value of ``key``, or null if it isn't in the set."""
