@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.runtime import checkpoint
+from listwright.runtime import stored
 
 
 def link_edges(pairs: DataFrame, i: str, j: str) -> DataFrame:
@@ -51,7 +51,7 @@ def star_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """
     mark = None
     for _ in range(rounds):
-        edges = checkpoint(_small_star(_large_star(edges)))
+        edges = stored(_small_star(_large_star(edges)), "stars")
         if (now := _mark(edges)) == mark:
             tops = edges.select(F.col("u").alias("id"), F.col("u").alias("group_id")).distinct()
             return edges.select(F.col("v").alias("id"), F.col("u").alias("group_id")).union(tops)
@@ -61,7 +61,7 @@ def star_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
 def components(pairs: DataFrame, i: str = "i", j: str = "j", vertices: DataFrame | None = None) -> DataFrame:
     """``id, group_id``; with ``vertices`` (a column ``id``) unlinked vertices form groups of their own."""
-    labels = star_labels(checkpoint(link_edges(pairs, i, j)))
+    labels = star_labels(stored(link_edges(pairs, i, j), "edges"))
     if vertices is None:
         return labels
     return vertices.select("id").where("id is not null").distinct().join(labels, "id", "left").select("id", F.coalesce("group_id", "id").alias("group_id"))
