@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from listwright.operators.graph import both_ways, link_edges, star_labels
-from listwright.runtime import checkpoint
+from listwright.runtime import stored
 
 
 def member_edges(groups: DataFrame, members: str) -> DataFrame:
@@ -30,16 +30,16 @@ def _peel(edges: DataFrame, share: float, depth: int) -> tuple[DataFrame, DataFr
     """(reached vertices ``x``, the other edges with the reached part contracted); null without edges."""
     both = both_ways(edges)
     top = both.groupBy("u").count().orderBy(F.desc("count"), "u").limit(1).select(F.col("u").alias("x"))
-    reached = frontier = checkpoint(top)
+    reached = frontier = stored(top, "top")
     if not (total := frontier.count()):
         return None
     for _ in range(depth):
         met = both.join(frontier, both["u"] == frontier["x"], "left_semi").select(F.col("v").alias("x")).distinct()
-        frontier = checkpoint(met.join(reached, "x", "left_anti"))
+        frontier = stored(met.join(reached, "x", "left_anti"), "frontier")
         size = frontier.count()
         if not size:
             break
-        reached, total = checkpoint(reached.union(frontier)), total + size
+        reached, total = reached.union(frontier), total + size
         if size < share * total:
             break
     root = reached.agg(F.min("x")).first()[0]
@@ -48,7 +48,7 @@ def _peel(edges: DataFrame, share: float, depth: int) -> tuple[DataFrame, DataFr
     at = F.lit(root)
     ends = marked.where("in_u is null or in_v is null").select(F.when(F.col("in_u"), at).otherwise(F.col("u")).alias("a"), F.when(F.col("in_v"), at).otherwise(F.col("v")).alias("b"))
     left = ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct()
-    return reached.select("x", at.alias("root")), checkpoint(left)
+    return reached.select("x", at.alias("root")), stored(left, "left")
 
 
 def connected_components(edges: DataFrame, rounds: int = 60, share: float = 0.05, depth: int = 12) -> DataFrame:
@@ -58,7 +58,7 @@ def connected_components(edges: DataFrame, rounds: int = 60, share: float = 0.05
     rows with a null end are ignored; no edges give no rows. ``share`` and ``depth`` only decide how far the breadth-first
     part goes before the rest is propagated, not the result.
     """
-    edges = checkpoint(link_edges(edges, "u", "v"))
+    edges = stored(link_edges(edges, "u", "v"), "edges")
     peeled = _peel(edges, share, depth)
     if peeled is None:
         return edges.select(F.col("u").alias("id"), F.col("v").alias("group_id"))
