@@ -184,6 +184,15 @@ def test_density_clusters(spark):
     assert got[0] != got[3]
 
 
+def test_matrices_are_bounded(spark):
+    pts = spark.createDataFrame([(k, [1.0, 0.0], 1) for k in range(5)], "id bigint, v array<double>, p int")
+    with pytest.raises(ValueError, match="bound"):
+        clustering.density_clusters(pts, "id", "v", "p", most=4)
+    links = spark.createDataFrame([(k, k + 1, 0.9) for k in range(5)], "i bigint, j bigint, score double")
+    with pytest.raises(ValueError, match="bound"):
+        clustering.agglomerative(links, 0.5, most=4)
+
+
 def test_cluster_scores(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 2), (None, 2)], "g string, p int")
     r = clustering.cluster_scores(df, "g", "p").first()
