@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from listwright.llm.bpe import token_ids
 from listwright.llm.components import connected_components, member_edges
-from listwright.llm.glyphs import look_alike_pairs
+from listwright.llm.glyphs import canonical_sql, look_alike_pairs
 from listwright.llm.leakage import leaked_items
 from listwright.llm.linkage import product_groups, product_pairs
 from listwright.llm.sentences import sentences
@@ -62,7 +62,13 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_ids": p6_ids, "p7_found": p7_found, "p8_found": p8_found}
+_FORMS = canonical_sql().replace("SELECT trim(", "SELECT i, trim(")
+
 ORACLES: dict[str, str] = {
+    "p1_found": f"""
+WITH batch AS (SELECT row_number() OVER () AS i, row_id, product_name AS name FROM (SELECT DISTINCT row_id, product_name FROM phase2_before_after WHERE row_id IS NOT NULL AND product_name IS NOT NULL)),
+forms AS ({_FORMS}), named AS (SELECT row_id, name, form FROM batch JOIN forms USING (i))
+SELECT DISTINCT x.row_id AS row_id_a, y.row_id AS row_id_b FROM named x JOIN named y ON x.form = y.form AND x.row_id < y.row_id AND x.name <> y.name""",
     "p4_found": """
 WITH RECURSIVE e AS (
   SELECT DISTINCT i AS a, j AS b FROM phase5_pairs WHERE label AND i IS NOT NULL AND j IS NOT NULL AND i <> j
