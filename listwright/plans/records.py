@@ -394,5 +394,9 @@ x AS (SELECT (SELECT sum(c) FROM c) AS n, (SELECT sum(c * (c - 1) / 2) FROM c) A
 SELECT (SELECT count(DISTINCT p) FROM d) AS clusters, round((c2 - k2 * p2 / (n * (n - 1) / 2)) / ((k2 + p2) / 2 - k2 * p2 / (n * (n - 1) / 2)), 6) AS ari FROM x)"""
         for t in (0.6, 0.8)
     ),
+    "self_block": f"SELECT DISTINCT least(query, id) AS i, greatest(query, id) AS j FROM (SELECT a.vec_id AS query, b.vec_id AS id, row_number() OVER (PARTITION BY a.vec_id ORDER BY s DESC, b.vec_id) AS n FROM (SELECT a, b, {_DOT} AS s FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id)) WHERE n <= 3",
+    "categorize_centroid": """WITH x AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS d FROM embeddings), m AS (SELECT label, list(m ORDER BY d) AS v FROM (SELECT label, d, round(avg(x), 9) AS m FROM x GROUP BY label, d) GROUP BY label)
+SELECT vec_id, label FROM (SELECT e.vec_id, m.label, row_number() OVER (PARTITION BY e.vec_id ORDER BY round(list_sum(list_transform(list_zip(e.embedding, m.v), lambda p: p[1]::DOUBLE * p[2])), 6) DESC, m.label) AS n FROM embeddings e, m) WHERE n = 1""",
+    "adjudicate_names": f"WITH n AS (SELECT row_id, name_clean FROM {ONCE}), z AS (SELECT i, j, 'Same product? A: ' || a.name_clean || ' B: ' || b.name_clean AS p FROM {HYBRID} h JOIN n a ON a.row_id = h.i JOIN n b ON b.row_id = h.j WHERE score >= 0.6 AND score < 0.8) SELECT i, j, CASE WHEN p IS NOT NULL THEN ((length(p) - length(replace(p, 'kg', ''))) // 2) % 2 = 0 END AS same FROM z",
     "ask_json": "SELECT p_partkey, CASE WHEN (length(p_name) + 14) % 11 <> 0 THEN p_name END AS name FROM part",
 }

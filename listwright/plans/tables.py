@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from listwright.functions import text as T
 from listwright.operators import extract, mapping, profile, spelling
-from listwright.operators.pairs import class_tfidf, synthetic_pairs, training_triplets, transliteration_map
-from listwright.operators.units import conversion_table
+from listwright.operators.pairs import SHORT, class_tfidf, synthetic_pairs, training_triplets, transliteration_map
+from listwright.operators.units import compositions, conversion_table
 from listwright.runtime import broadcast_if_small, table
 from listwright.sources.readers import pick_name
 
@@ -154,8 +154,8 @@ _SPELL = T._UNITS
 def parse_quantity(spark, sf_dir):
     value, unit = T.first_quantity(F.col("name_clean"))
     units = broadcast_if_small(conversion_table(spark).select(F.col("unit").alias("spelling"), "base_unit", "factor"))
-    read = table(spark, sf_dir, L).select("row_id", value.alias("value"), unit.alias("spelling"), T.pack_count(F.col("name_clean")).alias("pack")).distinct()
-    return read.join(units, "spelling").select("row_id", "base_unit", F.round(F.col("value") * F.col("factor"), 3).alias("amount"), "pack")
+    read = table(spark, sf_dir, L).select("row_id", value.alias("value"), unit.alias("spelling")).distinct()
+    return read.join(units, "spelling").select("row_id", "base_unit", F.round(F.col("value") * F.col("factor"), 3).alias("amount"))
 
 
 def parse_number(spark, sf_dir):
@@ -211,7 +211,7 @@ def attribute_spans(spark, sf_dir):
 
 
 def synthetic(spark, sf_dir):
-    return synthetic_pairs(table(spark, sf_dir, "part"), "p_name").where("kind in ('brief', 'negative') and not (kind = 'negative' and not variant rlike '[0-9]')").select("original", "variant", "label")
+    return synthetic_pairs(table(spark, sf_dir, "part"), "p_name").where("kind in ('brief', 'negative')").select("original", "variant", "label")
 
 
 # spelling
@@ -312,7 +312,26 @@ synthetic mine_abbreviations spell_correct corrected_names spelling_quality unit
 interleaved_sample attribute_pairs transliteration training_rows class_terms"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
+_UNIT_ROWS = ", ".join(f"('{u}', '{b}', {float(f)!r})" for u, (b, f, _) in compositions().items())
+_SHORT = " ".join("WHEN '{}' THEN '{}'".format(*p.split("=")) for p in SHORT.split())
+_LEMMA = """CASE WHEN t IN ('gas', 'bus', 'plus', 'glass', 'lens', 'oats', 'jeans', 'series', 'molasses', 'hummus', 'asparagus') THEN t WHEN regexp_full_match(t, '[a-z]+(ss|us|is)') THEN t
+WHEN regexp_full_match(t, '[a-z]{2,}ies') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_full_match(t, '[a-z]+(ch|sh|x|z)es') THEN regexp_replace(t, 'es$', '') WHEN regexp_full_match(t, '[a-z]{2,}oes') THEN regexp_replace(t, 'es$', '')
+WHEN regexp_full_match(t, '[a-z]{3,}s') THEN regexp_replace(t, 's$', '') ELSE t END"""
+
 ORACLES = {
+    "parse_quantity": f"WITH q AS (SELECT DISTINCT row_id, try_cast(regexp_extract(lower(name_clean), '([0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)\\s*({_SPELL})(?:[^a-z0-9]|$)', 1) AS DOUBLE) AS v, regexp_extract(lower(name_clean), '([0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)\\s*({_SPELL})(?:[^a-z0-9]|$)', 2) AS u FROM {L}) SELECT row_id, base_unit, round(v * factor, 3) AS amount FROM q JOIN (VALUES {_UNIT_ROWS}) t(u, base_unit, factor) USING (u) WHERE v IS NOT NULL",
+    "synthetic": f"""WITH n AS (SELECT DISTINCT p_name AS o FROM part) SELECT o AS original, array_to_string(list_transform(string_split(lower(o), ' '), lambda t: CASE t {_SHORT} ELSE t END), ' ') AS variant, true AS label FROM n
+UNION ALL SELECT o, o || ' ' || ['Lite', 'Plus', 'Max', 'Gold', 'Mini'][('0x' || substr(md5('42|' || o), 1, 8))::BIGINT % 5 + 1], false FROM n""",
+    "lemmatized": f"SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda t: {_LEMMA}), ' ') AS lemmas FROM part",
+    "spell_correct": f"""WITH c AS (SELECT * FROM {_COUNTS_SQL} WHERE regexp_full_match(token, '[a-z]+')), m AS (SELECT a.token, d.token AS word, d.n, damerau_levenshtein(a.token, d.token) AS distance, length(a.token) AS size
+FROM c a JOIN c d ON a.n < 3 AND d.n >= 3 AND d.n >= 10 * a.n AND length(a.token) >= 5 AND length(d.token) >= 3 AND abs(length(a.token) - length(d.token)) <= 2)
+SELECT token, word, distance FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, n DESC, word) AS rn FROM m WHERE distance <= CASE WHEN size < 8 THEN 1 ELSE 2 END) WHERE rn = 1""",
+    "gazetteer_brand": f"""WITH g AS (SELECT DISTINCT array_to_string(list_filter(string_split_regex(lower(trim(brand)), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> ''), ' ') AS p, lower(trim(brand)) AS b FROM {L} WHERE length(trim(brand)) > 3),
+k AS (SELECT DISTINCT p FROM g WHERE regexp_full_match(p, '[a-z]+') AND NOT list_contains(string_split('{extract.COLOURS} {extract.CUTS}', ' '), p)), n AS (SELECT DISTINCT row_id, list_filter(string_split_regex(lower(coalesce(name_clean, '')), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> '') AS w FROM {L}),
+t AS (SELECT row_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM n) SELECT row_id, arg_min(w, i) AS value FROM t WHERE w IN (SELECT p FROM k) GROUP BY row_id""",
+    "attribute_spans": f"SELECT DISTINCT row_id, strpos(lower(product_name), lower(v)) - 1 AS start, strpos(lower(product_name), lower(v)) - 1 + length(v) AS \"end\", label FROM (SELECT row_id, product_name, brand AS v, 'brand' AS label FROM {L} UNION ALL SELECT row_id, product_name, source, 'source' FROM {L}) WHERE length(v) > 0 AND strpos(lower(product_name), lower(v)) > 0",
+    "slot_scores": f"""WITH d AS (SELECT row_id, nullif(split_part(trim(name_clean), ' ', 1), NULL) AS v, brand AS g FROM {ONCE}), c AS (SELECT count(*) FILTER (coalesce(lower(trim(v)) = lower(trim(g)), false)) AS tp, count(*) FILTER (v IS NOT NULL AND NOT coalesce(lower(trim(v)) = lower(trim(g)), false)) AS fp, count(*) FILTER (g IS NOT NULL AND NOT coalesce(lower(trim(v)) = lower(trim(g)), false)) AS fn FROM d),
+r AS (SELECT tp, fp, fn, round(tp / (tp + fp), 3) AS precision, round(tp / (tp + fn), 3) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 3) AS f1 FROM c) SELECT 'brand' AS attribute, * FROM r UNION ALL SELECT 'MACRO', * FROM r""",
     "profile_table": f"""SELECT count(*) AS rows, 6 AS columns, 0.0 AS mean_null_pct, count(*) - count(DISTINCT (p_partkey, p_name, p_brand, p_type, p_size, p_retailprice)) AS duplicate_rows,
 count(p_name) - count(DISTINCT p_name) AS duplicate_names, count(p_name) - count(DISTINCT lower(trim(p_name))) AS duplicate_names_folded, median(length(p_name)) AS median_chars,
 round(avg(len(string_split_regex(trim(p_name), '\\s+'))), 2) AS mean_tokens, max(len(string_split_regex(trim(p_name), '\\s+'))) AS max_tokens,
