@@ -5,7 +5,7 @@ Its stack holds open quotations and brackets; only at level zero can a terminato
 belongs to the sentence before it. Abbreviations are recognised in a trie that is walked backwards from the full stop.
 A quotation or bracket that isn't closed within its paragraph is not opened at all.
 
-What follows decides ambiguous cases: a lower-case word goes on, unless the whole text is in lower case; then the kind of
+What follows decides ambiguous cases: a lower-case word goes on, unless the text or the sentence so far is in lower case; then the kind of
 mark and the next word decide. Scripts without case go on after a quoted question, a conjunction or a letter that
 directly follows the closing mark.
 """
@@ -119,6 +119,11 @@ def _pairs(text: str) -> dict[int, int]:
     return out
 
 
+def _in_lower(text: str, start: int, at: int) -> bool:
+    """Is the sentence so far in lower case, as where a lower-case text has another text inside?"""
+    return text[start:at].islower()
+
+
 def _skip(text: str, at: int) -> int:
     while at < len(text) and text[at].isspace():
         at += 1
@@ -158,7 +163,7 @@ def boundaries(text: str) -> list[tuple[int, int]]:
                 inside = -1
                 if k >= start and text[k] in _TERMINATORS and text[at] != '"' or k == at - 1 and text[k] in _TERMINATORS:
                     end = _closers(text, at + 1, pairs)
-                    if _ends_after_quote(text, k, at, end, start, lower):
+                    if _ends_after_quote(text, k, at, end, start, lower or _in_lower(text, start, at)):
                         close(end)
             continue
         if at < inside:
@@ -167,7 +172,7 @@ def boundaries(text: str) -> list[tuple[int, int]]:
             close(at)
             continue
         end = _closers(text, m.end(), pairs)
-        if _ends(text, at, m.end(), end, start, lower):
+        if _ends(text, at, m.end(), end, start, lower or _in_lower(text, start, at)):
             close(end)
     close(len(text.rstrip()))
     out, begin = [], _skip(text, 0)

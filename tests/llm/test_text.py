@@ -111,7 +111,7 @@ def _brute(docs, items):
             v = leakage.units(leakage.plain_text(t or ""), kind)
             if any(tuple(v[k : k + n]) in grams for k in range(len(v) - n + 1)):
                 out.add((d, i))
-    return sorted(out)
+    return sorted(out, key=repr)
 
 
 def test_leaks_equal_brute_force(spark):
@@ -177,6 +177,12 @@ def test_sentences_without_blanks(parts):
     assert [text[a:b] for a, b in boundaries(text)] == parts
 
 
+def test_lower_case_text_with_another_text_inside():
+    parts = ["we weighed it at 3.4 kg, i.e. more.", "the seller answered, \"we ship on monday.\"", "it is sold by kelvane pvt. ltd.", "loved it!", "Compare Gobubati and say so."]
+    text = " ".join(parts)
+    assert [text[a:b] for a, b in boundaries(text)] == parts
+
+
 def test_thai_blanks_headings_and_missing_blanks():
     text = "ร้านนี้ส่งของเร็วมากค่ะ ฉลากเขียนว่า 2.5 กก. แต่ชั่งได้น้อยกว่านั้น"
     assert [text[a:b] for a, b in boundaries(text)] == ["ร้านนี้ส่งของเร็วมากค่ะ", "ฉลากเขียนว่า 2.5 กก. แต่ชั่งได้น้อยกว่านั้น"]
@@ -195,7 +201,7 @@ def test_sentences_cover_all_but_white_space(text):
 
 
 def test_sentence_rows(spark):
-    data = [(1, "A b. C d."), (2, None), (3, ""), (4, " \n "), (5, "x " * 50_000), (1, "A b. C d.")]
+    data = [(1, "Ab cd. Ef gh."), (2, None), (3, ""), (4, " \n "), (5, "x " * 50_000), (1, "Ab cd. Ef gh.")]
     got = sentences(spark.createDataFrame(data, "doc_id bigint, text string"), "doc_id", "text")
-    assert rows(got) == [(1, 0, 4), (1, 0, 4), (1, 5, 9), (1, 5, 9), (5, 0, 99_999)]
+    assert rows(got) == [(1, 0, 6), (1, 0, 6), (1, 7, 13), (1, 7, 13), (5, 0, 99_999)]
     assert sentences(spark.createDataFrame([], "doc_id bigint, text string, sent_end int"), "doc_id", "text").count() == 0
