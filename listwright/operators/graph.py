@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from listwright.runtime import stored
+from listwright.runtime import drop_stored, stored
 
 
 def link_edges(pairs: DataFrame, i: str, j: str) -> DataFrame:
@@ -47,11 +47,13 @@ def _mark(edges: DataFrame) -> tuple[int, ...]:
 def star_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``id, group_id`` of every vertex of distinct edges ``u < v``; group_id is the smallest id of its component.
 
-    The lineage is cut in the shared folder after every round. No edges give no rows.
+    Every round writes its edges to the shared folder, which cuts the lineage, and drops those of the round before. No edges give no rows.
     """
     mark = None
-    for _ in range(rounds):
-        edges = stored(_small_star(_large_star(edges)), "stars")
+    for turn in range(rounds):
+        before, edges = edges, stored(_small_star(_large_star(edges)), "stars")
+        if turn:
+            drop_stored(before)  # nothing reads the table of the last round any more
         if (now := _mark(edges)) == mark:
             tops = edges.select(F.col("u").alias("id"), F.col("u").alias("group_id")).distinct()
             return edges.select(F.col("v").alias("id"), F.col("u").alias("group_id")).union(tops)
