@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from listwright.functions.quantity import spellings
 from listwright.operators.units import compositions
+from listwright.runtime import spread
 
 # Abbreviations and their words.
 ABBREVIATIONS = "pkt=packet pkts=packets pcs=pieces pc=piece pk=pack choc=chocolate choco=chocolate deo=deodorant"
@@ -180,6 +181,11 @@ def _shown(x: float) -> str:
     return f"{x:.6g}" if x < 1e6 else f"{x:.0f}"
 
 
+@lru_cache(1)
+def _table() -> dict[str, tuple[str, float]]:
+    return {u: (base, float(f)) for u, (base, f, _) in compositions().items()}
+
+
 def normalize_text(text: str) -> str:
     """Trade marks dropped, compatibility form, lower case, ``&`` spelled out, digits and letters apart, quantities in
     canonical units, punctuation dropped except inside numbers, blanks collapsed. Amounts of a million and more are
@@ -187,7 +193,7 @@ def normalize_text(text: str) -> str:
     """
     t = unicodedata.normalize("NFKC", re.sub("[™®©]", "", text)).lower().replace("&", " and ")
     t = re.sub(r"(?<=\d)(?=[^\W\d_])|(?<=[^\W\d_])(?=\d)", " ", t)
-    table = compositions()
+    table = _table()
 
     def canonical(m: re.Match) -> str:
         whole, _, frac = re.sub("[ -]", " ", m[1]).rpartition(" ")
@@ -198,8 +204,8 @@ def normalize_text(text: str) -> str:
             value = float(whole or 0) + a / b
         else:
             value = float(m[1].replace(",", "") or 0)
-        base, factor, _ = table[spellings()[m[2]]]
-        return f"{_shown(round(value * float(factor), 3))} {base}"
+        base, factor = table[spellings()[m[2]]]
+        return f"{_shown(round(value * factor, 3))} {base}"
 
     t = _QUANTITY.sub(canonical, t)
     t = re.sub(r"(?<!\d)[.,]|[.,](?!\d)|[^\w\s.,%]|_", " ", t)
@@ -217,7 +223,7 @@ def with_normalized(df: DataFrame, column: str, out: str) -> DataFrame:
             made = [None if t is None else normalize_text(t) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], names=[*batch.schema.names, out])
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def match_text(brand: Column, clean: Column) -> Column:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listwright.functions.quantity import amounts, spellings
-from listwright.runtime import broadcast_if_small
+from listwright.runtime import broadcast_if_small, spread
 
 Edge = tuple[str, str, str, str]
 
@@ -102,7 +102,7 @@ def stated_parts(df: DataFrame, keep: list[str], title: str, text: str, value: s
             columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * 4, (pa.float64(), pa.string(), pa.float64(), pa.string()), strict=True)]
             yield pa.RecordBatch.from_arrays([*part.columns[:n], *columns], names=schema.names)
 
-    return slim.mapInArrow(run, schema)
+    return spread(slim).mapInArrow(run, schema)
 
 
 def canonical_amounts(df: DataFrame, key: str, title: str = "product_name", text: str = "quantity", value: str = "qty_value", unit: str = "qty_unit", edges: Iterable[Edge] = CONVERSIONS) -> DataFrame:

@@ -71,6 +71,17 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if plan_bytes(df) <= limit else df
 
 
+#: Bytes up to which a scan is dealt out over all cores before Python reads it; larger ones have partitions enough.
+SPREAD_BYTES = 8 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its estimated size makes it one or two partitions; else as it is. Rows don't change."""
+    if df.isStreaming:
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if plan_bytes(df) <= SPREAD_BYTES else df
+
+
 def persist(df: DataFrame) -> DataFrame:
     """Keep a frame that several actions read; partitions that are lost are computed again."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
