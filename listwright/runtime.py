@@ -76,10 +76,12 @@ SPREAD_BYTES = 8 << 20
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its estimated size makes it one or two partitions; else as it is. Rows don't change."""
+    """``df`` over all cores where the files it scans make one or two partitions; else as it is. Rows don't change."""
     if df.isStreaming:
         return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if plan_bytes(df) <= SPREAD_BYTES else df
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    read = sum(int(str(leaves.apply(k).stats().sizeInBytes())) for k in range(leaves.size()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if read <= SPREAD_BYTES else df
 
 
 def persist(df: DataFrame) -> DataFrame:
