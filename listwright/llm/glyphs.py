@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listwright.functions.charfold import tables
-from listwright.runtime import stored
+from listwright.runtime import spread, stored
 
 
 def _quoted(text: str) -> str:
@@ -83,7 +83,7 @@ def canonical_text(df: DataFrame, column: str, out: str = "form") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*part.columns, form.cast(pa.string())], names=[*part.schema.names, out])
         con.close()
 
-    return df.mapInArrow(run, schema)
+    return spread(df).mapInArrow(run, schema)
 
 
 def look_alike_pairs(df: DataFrame, key: str, column: str) -> DataFrame:

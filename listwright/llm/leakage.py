@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from listwright.functions.charfold import fold
-from listwright.runtime import BROADCAST_BYTES, stored
+from listwright.runtime import BROADCAST_BYTES, spread, stored
 
 #: Units of a reported span and of a hashed gram, by kind of unit. The window is span - gram + 1.
 SPAN = {"word": 12, "char": 24}
@@ -119,7 +119,7 @@ def fingerprints(df: DataFrame, key: str, text: str, kinds: str | tuple[str, ...
                     yield from cut(part.column(0).slice(begin, i + 1 - begin), texts[begin : i + 1], own[begin : i + 1])
                     begin, chars = i + 1, 0
 
-    return slim.mapInArrow(run, T.StructType(fields))
+    return spread(slim).mapInArrow(run, T.StructType(fields))
 
 
 def _longest(doc: np.ndarray, item: np.ndarray, hits: list[dict], enough: int) -> bool:
