@@ -241,6 +241,17 @@ def test_pipeline_end_to_end(spark):
     assert {r.row_id for r in search(result, "sunflower oil 1 litre", 2).collect()} == {5, 6}
 
 
+def test_copies_stay_together_whatever_their_number(spark):
+    names = [(k, "Tata Salt 1kg", "Tata") for k in range(40)] + [(100 + k, f"Fresh Toor Dal Unpolished Premium Quality Natural {chr(97 + k // 6) * 2}{chr(97 + k % 6)} 500 g", "Dal") for k in range(36)] + [(200, "", None), (201, "", None)]
+    result = run(spark.createDataFrame(names, "no bigint, `Item Title` string, Brand string"), key="no", params=Params(threshold=0.7))
+    got = {r.cluster_id: r.size for r in result.clusters.collect()}
+    assert got == {0: 40, 100: 36, 200: 1, 201: 1}
+    # copies that differ in what a conflict reads don't follow
+    prices = [(k, "Tata Salt 1kg", "Tata", 20.0 if k % 2 else 90.0) for k in range(40)]
+    result = run(spark.createDataFrame(prices, "no bigint, `Item Title` string, Brand string, mrp double"), key="no", params=Params(use_mrp=True))
+    assert {r.cluster_id: r.size for r in result.clusters.collect()} == {0: 20, 1: 20}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "a.csv").write_text("index,product\n1,Tea\n2,\"Coffee, ground\"\n")
     (tmp_path / "b.txt").write_text("# taxonomy\nFood > Tea > Green\nHome\n\n")
