@@ -193,6 +193,33 @@ def test_matrices_are_bounded(spark):
         clustering.agglomerative(links, 0.5, most=4)
 
 
+def test_linkage_beyond_the_matrix(spark, monkeypatch):
+    n = 3102
+    links = [(k, k + 1, 0.8 if k % 2 else 0.95) for k in range(n - 1)]
+    got = {r.id: r.group_id for r in clustering.agglomerative(spark.createDataFrame(links, "i bigint, j bigint, score double"), 0.7).collect()}
+    assert got == {k: k - k % 2 for k in range(n)}
+    rng = np.random.default_rng(5)
+    sim = np.triu(np.round(rng.random((16, 16)), 6), 1)
+    df = spark.createDataFrame([(i, j, float(sim[i, j])) for i in range(16) for j in range(i + 1, 16)], "i bigint, j bigint, score double")
+    want = clustering.average_linkage(sim + sim.T, 0.5)
+    monkeypatch.setattr(clustering, "MATRIX_ROWS", 4, raising=True)
+    got = {r.id: r.group_id for r in clustering.agglomerative(df, 0.5).collect()}
+    assert [got[k] for k in range(16)] == [int(np.where(want == want[k])[0].min()) for k in range(16)]
+
+
+def test_density_beyond_the_matrix(spark):
+    rng = np.random.default_rng(6)
+    angle = np.concatenate([rng.random(1550) * 0.5, 2 + rng.random(1550) * 0.5])
+    df = spark.createDataFrame([(k, [float(np.cos(a)), float(np.sin(a))], 1) for k, a in enumerate(angle)], "id bigint, v array<double>, p int")
+    assert clustering.density_clusters(df, "id", "v", "p").count() == 3100
+    x = rng.normal(size=(300, 5))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    assert (clustering._density_labels(np.sqrt(np.maximum(0, 2 - 2 * x @ x.T)), 2) == clustering._density_labels(x, 2, True)).all()
+    steps = np.cumsum(1.0005 ** -np.arange(3500)) * 1e-3
+    chain = np.stack([np.cos(steps), np.sin(steps)], 1)
+    assert len(clustering._density_labels(chain, 2, True)) == 3500
+
+
 def test_cluster_scores(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 2), (None, 2)], "g string, p int")
     r = clustering.cluster_scores(df, "g", "p").first()
