@@ -1,4 +1,4 @@
-"""Row-local stages of the pipeline on streams: they keep no state, so a stream gives the rows that a batch gives."""
+"""Stages of the pipeline on streams: row-local ones keep no state, so a stream gives the rows that a batch gives."""
 
 from __future__ import annotations
 
@@ -14,6 +14,9 @@ def clean_listings(df: DataFrame, name: str = "product_name") -> DataFrame:
     return with_normalized(df, name, "name_clean").withColumns({"qty_value": value, "qty_unit": unit, "pack_count": pack_count(F.col(name))})
 
 
-def first_deliveries(stream: DataFrame, key: str, time: str, delay: str = "14 days") -> DataFrame:
-    """A stream with repeated deliveries of a key dropped while they arrive within ``delay``; the state is bounded by the watermark."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark([key])
+def first_deliveries(stream: DataFrame, key: str) -> DataFrame:
+    """A stream with only the first delivery of every key, however late a row or its repeat arrives.
+
+    No watermark, since rows arrive weeks after their event time and would be lost behind it: the state holds every key.
+    """
+    return stream.dropDuplicates([key])

@@ -11,7 +11,7 @@ from listwright.operators import clustering, extract, graph, mapping, matching,
 from listwright.plans.pipeline import Params, run, search
 from listwright.runtime import broadcast_if_small, plan_bytes, stored
 from listwright.sources import readers
-from listwright.streaming.rows import clean_listings
+from listwright.streaming.rows import clean_listings, first_deliveries
 
 
 def rows(df):
@@ -310,6 +310,16 @@ def test_streamed_rows_equal_batch_rows(spark, tmp_path):
     assert rows(spark.table("cleaned")) == rows(clean_listings(src))
 
 
+def test_late_first_deliveries_are_kept(spark, tmp_path):
+    schema = "row_id bigint, crawl_timestamp timestamp"
+    for k, batch in enumerate(([(1, "2024-03-31")], [(3, "2024-04-01")], [(2, "2024-01-01"), (1, "2024-03-31")], [(2, "2024-01-01"), (3, "2024-06-30")])):
+        spark.createDataFrame(batch, "row_id bigint, t string").selectExpr("row_id", "t::timestamp as crawl_timestamp").coalesce(1).write.mode("append").parquet(str(tmp_path / "in" / f"d={k}"))
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in" / "*"))
+    q = first_deliveries(source, "row_id").writeStream.format("memory").queryName("firsts").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted(r.row_id for r in spark.table("firsts").collect()) == [1, 2, 3]
+
+
 def test_stored_frames_and_guarded_broadcasts(spark):
     df = stored(spark.range(5), "t")
     assert df.count() == 5
