@@ -220,6 +220,17 @@ def test_density_beyond_the_matrix(spark):
     assert len(clustering._density_labels(chain, 2, True)) == 3500
 
 
+def test_fits_take_all_rows(spark):
+    n = 100_400
+    df = spark.range(n).select("id", F.concat(F.lit("w"), (F.col("id") / 2).cast("int").cast("string")).alias("t"))
+    got = vectors.skip_gram_vectors(df, "id", "t", 4)
+    assert got.where(F.exists("embedding", lambda x: x != 0)).count() == n
+    odd = df.orderBy(F.xxhash64("id").desc()).first().id
+    points = spark.range(n).select("id", F.array(F.when(F.col("id") == odd, -1.0).otherwise(1.0), F.lit(0.0)).alias("v"))
+    alone = clustering.topics(points, "id", "v", 2).groupBy("topic").agg(F.count("*").alias("n"), F.min("id").alias("id"))
+    assert {(r.n, r.id) for r in alone.collect()} >= {(1, odd)}
+
+
 def test_cluster_scores(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 2), (None, 2)], "g string, p int")
     r = clustering.cluster_scores(df, "g", "p").first()
