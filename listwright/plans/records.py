@@ -15,9 +15,10 @@ from listwright.runtime import table
 P = "phase5_pairs"
 
 
-def _pairs(spark, sf_dir):
-    """Distinct scored pairs of the pair table, each unordered pair once with its greatest scores and agreed label."""
-    df = table(spark, sf_dir, P).where("i is not null and j is not null and i <> j and label is not null")
+def _pairs(spark, sf_dir, undecided=False):
+    """Distinct scored pairs of the pair table, each unordered pair once with its greatest scores and agreed label; ``undecided`` rows have no label."""
+    df = table(spark, sf_dir, P).where("i is not null and j is not null and i <> j")
+    df = df if undecided else df.where("label is not null")
     ends = df.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "label", "sbert", F.col("char_cos"), *[c for c in df.columns if c.endswith("_conflict")])
     return ends.groupBy("i", "j").agg(F.bool_and("label").alias("label"), F.max("sbert").alias("sbert"), F.max("char_cos").alias("char_cos"), *[F.bool_or(c).alias(c) for c in ends.columns if c.endswith("_conflict")])
 
@@ -29,8 +30,8 @@ _HYBRID = f"round(CASE WHEN {_VETO} THEN 0.0 ELSE w * coalesce(sbert, 0.0) + (1
 HYBRID = f"(SELECT *, {_HYBRID} AS score FROM (SELECT *, 0.5 AS w, 0.2 AS bp, 0.1 AS mp FROM {PAIRS}))"
 
 
-def _hybrid(spark, sf_dir):
-    return _pairs(spark, sf_dir).withColumn("score", matching.hybrid_score(F.lit(0.5), F.lit(0.2), F.lit(0.1)))
+def _hybrid(spark, sf_dir, undecided=False):
+    return _pairs(spark, sf_dir, undecided).withColumn("score", matching.hybrid_score(F.lit(0.5), F.lit(0.2), F.lit(0.1)))
 
 
 # vectors
@@ -109,7 +110,7 @@ def categorize_centroid(spark, sf_dir):
 
 def token_set_ratio(spark, sf_dir):
     df = listings(spark, sf_dir).select("row_id", "name_clean")
-    pairs = _pairs(spark, sf_dir).select("i", "j").join(df.select(F.col("row_id").alias("i"), F.col("name_clean").alias("a")), "i").join(df.select(F.col("row_id").alias("j"), F.col("name_clean").alias("b")), "j")
+    pairs = _pairs(spark, sf_dir, undecided=True).select("i", "j").join(df.select(F.col("row_id").alias("i"), F.col("name_clean").alias("a")), "i").join(df.select(F.col("row_id").alias("j"), F.col("name_clean").alias("b")), "j")
     return vectors.with_token_set_ratio(pairs, "a", "b").select("i", "j", "fuzzy")
 
 
@@ -235,12 +236,12 @@ r(id, low) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, r.low FROM r JOIN s
 
 
 def agglomerative(spark, sf_dir):
-    return clustering.agglomerative(_hybrid(spark, sf_dir), 0.75)
+    return clustering.agglomerative(_hybrid(spark, sf_dir, undecided=True), 0.75)
 
 
 def resplit_components(spark, sf_dir):
     ids = listings(spark, sf_dir).select(F.col("row_id").alias("id"))
-    return clustering.agglomerative(_hybrid(spark, sf_dir), 0.7, ids, only_above=30)
+    return clustering.agglomerative(_hybrid(spark, sf_dir, undecided=True), 0.7, ids, only_above=30)
 
 
 def density_clusters(spark, sf_dir):

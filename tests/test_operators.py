@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import text as T
 from listwright.operators import clustering, extract, graph, mapping, matching, profile, providers, spelling, vectors
+from listwright.plans import records
 from listwright.plans.pipeline import Params, run, search
 from listwright.runtime import broadcast_if_small, plan_bytes, stored
 from listwright.sources import readers
@@ -231,6 +232,13 @@ def test_fits_take_all_rows(spark):
     assert {(r.n, r.id) for r in alone.collect()} >= {(1, odd)}
 
 
+def test_undecided_pairs_are_clustered(spark, tmp_path):
+    rows = [(1, 2, None), (3, 4, True), (6, 5, False), (5, 6, None), (7, None, None)]
+    flags = ", ".join(f"{c} boolean" for c in records._FLAGS)
+    spark.createDataFrame([(i, j, y, 0.9, 0.9, *[False] * 5) for i, j, y in rows], f"i bigint, j bigint, label boolean, sbert double, char_cos double, {flags}").write.parquet(str(tmp_path / "phase5_pairs.parquet"))
+    assert {r.id: r.group_id for r in records.agglomerative(spark, str(tmp_path)).collect()} == {1: 1, 2: 1, 3: 3, 4: 3, 5: 5, 6: 5}
+
+
 def test_cluster_scores(spark):
     df = spark.createDataFrame([("a", 1), ("a", 1), ("b", 2), ("b", 2), (None, 2)], "g string, p int")
     r = clustering.cluster_scores(df, "g", "p").first()
