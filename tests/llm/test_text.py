@@ -1,6 +1,7 @@
 """Look-alike text, token ids, leaked passages and sentences: round trips, brute force and awkward rows."""
 
 import random
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -190,6 +191,31 @@ def test_thai_blanks_headings_and_missing_blanks():
     assert [text[a:b] for a, b in boundaries(text)] == ["Notes on batch 84", "A line\nbroken here.", "Do not store."]
 
 
+def test_case_is_judged_by_whole_paragraphs():
+    tail = "यह सूची 2024. new item is here"
+    parts = lambda text: [text[a:b] for a, b in boundaries(text)]
+    assert parts(tail) == ["यह सूची 2024.", "new item is here"]
+    for before in ("सूची " * 130, "Capitals Here. And There."):
+        assert parts(f"{before.strip()}\n\n{tail}")[-2:] == ["यह सूची 2024.", "new item is here"]
+    assert parts("It came p. ex." + " " * 90 + "then went.") == ["It came p. ex." + " " * 90 + "then went."]
+
+
+def test_list_levels():
+    parts = lambda text: [text[a:b] for a, b in boundaries(text)]
+    assert parts("In the box: 1. Rice 2. Dal 3. Salt") == ["In the box: 1. Rice 2. Dal 3. Salt"]
+    assert parts("Steps: 1. Wash. A. Cold water 2. Dry it. We sold 7. Then more.") == ["Steps: 1. Wash.", "A. Cold water 2. Dry it.", "We sold 7.", "Then more."]
+    assert parts("We sold 1. Then we sold 2. Then none.") == ["We sold 1.", "Then we sold 2.", "Then none."]
+    assert parts("Only: 1. Rice\n\nLater we sold 2. Then none.") == ["Only: 1. Rice", "Later we sold 2.", "Then none."]
+
+
+@pytest.mark.parametrize("unit", ["foo.) bar(x) ", "a. ", "1. ", "“x” ", "www.a.b ", "«a. ", "... ", '. "', "न. ", "ltd. ", "9 a.m. ", "(b. ", "é.A", "ab"])
+def test_long_texts_take_linear_time(unit):
+    text = unit * (200_000 // len(unit))
+    begun = time.process_time()
+    boundaries(text)
+    assert time.process_time() - begun < 2
+
+
 @settings(max_examples=200)
 @given(st.text(alphabet=st.sampled_from(list(' \n\tab.A!?"“”«»()…。」「ก.5,|')), max_size=60))
 def test_sentences_cover_all_but_white_space(text):
