@@ -14,6 +14,7 @@ from __future__ import annotations
 import html
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from listwright.functions.charfold import fold
 from listwright.runtime import BROADCAST_BYTES, spread, stored
@@ -31,15 +33,31 @@ GRAM = {"word": 8, "char": 18}
 #: Characters that are hashed at a time.
 SLICE_CHARS = 1 << 20
 
-_MARKUP = re.compile(r"</?[A-Za-z][^<>]*>|<!--.*?-->|(?<=\]\()[^()\s]*(?=\))", re.S)
+# Elements of HTML, and attributes that are written without a value.
+TAGS = """
+a abbr acronym address article aside audio b base bdi bdo big blockquote body br button canvas caption center cite code col colgroup data dd del
+details dfn dialog dir div dl dt em embed fieldset figcaption figure font footer form frame frameset h1 h2 h3 h4 h5 h6 head header hr html i iframe
+img input ins kbd label legend li link main map mark menu meta meter nav nobr noscript object ol optgroup option output p param picture pre
+progress q rb rp rt rtc ruby s samp script section select slot small source span strike strong style sub summary sup svg table tbody td
+template textarea tfoot th thead time title tr track tt u ul var video wbr
+"""
+BARE_ATTRIBUTES = "async autofocus autoplay checked compact controls default defer disabled hidden ismap loop multiple muted nohref noshade novalidate nowrap open readonly required reversed selected"
+
+_ATTRIBUTE = rf"""[a-z_:][\w:.-]*\s*=\s*(?:"[^"<>]*"|'[^'<>]*'|[^\s"'<>=`]+)|(?:{"|".join(BARE_ATTRIBUTES.split())})(?=[\s/>])"""
+_MARKUP = re.compile(rf"</?(?:{'|'.join(TAGS.split())})(?:\s+(?:{_ATTRIBUTE}))*\s*/?>|(?<=\]\()[^()\s]*(?=\))", re.I)
+_COMMENT = re.compile(r"<!--[^<>]*-->")
 _CJK = re.compile("[㐀-䶿一-鿿豈-﫿぀-ヿ\U00020000-\U0003134f]")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
 
 def plain_text(text: str) -> str:
-    """Lower case, folded, without tags, comments, link targets and entities."""
+    """Lower case, folded, without tags, link targets, entities and such comments as can't hold a reportable span.
+
+    Only known elements with attributes in their syntax are tags: other text in angle brackets is text and stays.
+    """
     if "<" in text or "](" in text:
         text = _MARKUP.sub(" ", text)
+        text = _COMMENT.sub(lambda m: " " if sum(map(str.isalnum, m[0])) < SPAN["word"] else m[0], text)
     if "&" in text:
         text = html.unescape(text)
     return fold(text).casefold()
@@ -122,15 +140,16 @@ def fingerprints(df: DataFrame, key: str, text: str, kinds: str | tuple[str, ...
     return spread(slim).mapInArrow(run, T.StructType(fields))
 
 
-def _longest(doc: np.ndarray, item: np.ndarray, hits: list[dict], enough: int) -> bool:
-    """Does any hit extend to a common run of ``enough`` units?"""
-    for hit in hits:
-        d, i = hit["pos"], hit["ipos"]
-        left = min(d, i)
-        a, b = doc[d - left : d] == item[i - left : i], doc[d : d + len(item) - i]
-        b = b == item[i : i + len(b)]
-        run = (int(np.argmin(a[::-1])) if not a.all() else left) + (int(np.argmin(b)) if not b.all() else len(b))
-        if run >= enough:
+def _longest(doc: np.ndarray, item: np.ndarray, diagonals: list[dict], gram: int, enough: int) -> bool:
+    """Does any diagonal hold a common run of ``enough`` units that meets one of its hits?"""
+    for d in diagonals:
+        shift = d["shift"]
+        low = max(d["low"] - enough, shift, 0)
+        high = min(d["high"] + gram + enough, len(doc), len(item) + shift)
+        if high - low < enough:
+            continue
+        differs = np.flatnonzero(doc[low:high] != item[low - shift : high - shift])
+        if np.diff(differs, prepend=-1, append=high - low).max() > enough:
             return True
     return False
 
@@ -139,7 +158,9 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str, doc_text:
     """``doc_key, item_key``: every document and item with a common run of 12 words (24 letters and digits for ``unspaced``).
 
     Null, empty and too short texts match nothing; repeated rows give one result row. The item fingerprints are broadcast
-    where their counted rows are within a bound, else both sides are shuffled on the hash.
+    where their counted rows are within a bound, else both sides are shuffled on the hash. Hits are reduced map-side to the
+    diagonals (position in the document less position in the item) they lie on, so that passages repeated on both sides
+    cost a row per diagonal and not per pair of places. A document's text meets the list of its items in one row.
     """
     items = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("itext"), F.when(F.col(item_lang).isin(*unspaced), "char").otherwise("word").alias("ikind"))
     letters = F.regexp_replace("itext", r"[^\p{L}\p{N}]", "")
@@ -149,26 +170,31 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str, doc_text:
     docs = documents.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("dtext"))
     train = fingerprints(docs, "doc", "dtext", ("word", "char"), cjk_only)
     known = F.broadcast(test) if test.count() * 40 <= BROADCAST_BYTES else test
-    hits = train.join(known, ["kind", "hash"]).select("doc", "item", "kind", "pos", "ipos")
-    found = stored(hits.groupBy("doc", "item", "kind").agg(F.collect_set(F.struct("pos", "ipos")).alias("hits")), "hits")
-    texts = docs.join(found.select("doc").distinct(), "doc", "left_semi").where(F.col("dtext").isNotNull())
-    pairs = found.join(texts, "doc").join(items.select("item", "itext"), "item")
+    hits = train.join(known, ["kind", "hash"]).select("doc", "item", "kind", (F.col("pos") - F.col("ipos")).alias("shift"), "pos")
+    diagonals = hits.groupBy("doc", "item", "kind", "shift").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
+    found = diagonals.groupBy("doc", "item", "kind").agg(F.collect_list(F.struct("shift", "low", "high")).alias("hits"))
+    passages = items.where(F.col("itext").isNotNull()).select("item", "itext").distinct()
+    size = passages.agg(F.sum(F.octet_length("itext") + 40)).first()[0] or 0
+    met = found.join(F.broadcast(passages) if size <= BROADCAST_BYTES else passages, "item")
+    listed = stored(met.groupBy("doc").agg(F.collect_list(F.struct("item", "itext", "kind", "hits")).alias("items")), "hits")
+    pairs = docs.where(F.col("dtext").isNotNull()).join(listed, "doc")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[tuple[str, str], np.ndarray] = {}  # of texts that neighbouring rows share
-
-        def codes(text: str, kind: str) -> np.ndarray:
-            if (text, kind) not in kept:
-                if len(kept) >= 256:
-                    kept.clear()
-                kept[text, kind] = _codes(units(plain_text(text), kind))
-            return kept[text, kind]
-
+        coded = lru_cache(1024)(lambda text, kind: _codes(units(plain_text(text), kind)))  # of items that many rows share
         for part in batches:
-            rows = part.to_pylist()
-            good = [n for n, r in enumerate(rows) if _longest(codes(r["dtext"], r["kind"]), codes(r["itext"], r["kind"]), r["hits"], SPAN[r["kind"]])]
-            yield pa.RecordBatch.from_arrays([part.column("doc").take(pa.array(good, pa.int64())), part.column("item").take(pa.array(good, pa.int64()))], names=["doc", "item"])
+            rows, which = [], []
+            for n, (text, found) in enumerate(zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True)):
+                plain, own = plain_text(text), {}
+                for hit in found:
+                    kind = hit["kind"]
+                    if kind not in own:
+                        own[kind] = _codes(units(plain, kind))
+                    if _longest(own[kind], coded(hit["itext"], kind), hit["hits"], GRAM[kind], SPAN[kind]):
+                        rows.append(n)
+                        which.append(hit["item"])
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(rows, pa.int64())), pa.array(which, item_type)], names=["doc", "item"])
 
     schema = T.StructType([T.StructField("doc", docs.schema["doc"].dataType), T.StructField("item", items.schema["item"].dataType)])
-    checked = pairs.select("doc", "item", "kind", "hits", "dtext", "itext").mapInArrow(verify, schema)
+    item_type = to_arrow_type(schema["item"].dataType)
+    checked = pairs.select("doc", "dtext", "items").mapInArrow(verify, schema)
     return checked.distinct().select(F.col("doc").alias(doc_key), F.col("item").alias(item_key))

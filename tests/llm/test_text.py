@@ -146,6 +146,23 @@ def test_leaks_of_empty_tables(spark):
     assert rows(leakage.leaked_items(docs, items, "doc_id", "text", "item_id", "text", "lang")) == [(1, 1)]
 
 
+def test_text_in_angle_brackets_is_no_tag(spark):
+    passage = " ".join(WORDS[:14])
+    docs = [(1, f"grade <A {passage}> end"), (2, f"<p class='x'>{passage}</p>"), (3, passage.replace(" ", " <b>", 1).replace(" ", " </b>", 2)), (4, f"<!-- {passage} -->"), (5, passage.replace(" ", " <!-- x --> ", 3)), (6, f"<{passage}>"), (7, "<p hidden><img src=a.png alt='two words'/>")]
+    items = spark.createDataFrame([(1, "en", passage)], "item_id bigint, lang string, text string")
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), items, "doc_id", "text", "item_id", "text", "lang")
+    assert rows(got) == [(k, 1) for k in range(1, 7)]
+    assert leakage.plain_text(docs[6][1]).split() == []
+
+
+def test_repeated_passages_cost_a_row_per_diagonal(spark):
+    item = " ".join(WORDS[:8] * 5)
+    docs = [(1, " ".join(WORDS[:8] * 3000)), (2, " ".join([*WORDS[:8], "x"] * 3000))]
+    items = spark.createDataFrame([(1, "en", item), (2, "en", item)], "item_id bigint, lang string, text string")
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), items, "doc_id", "text", "item_id", "text", "lang")
+    assert rows(got) == [(1, 1), (1, 2)]
+
+
 SENTENCES = [
     ["Dr. Hazu from Kelonda Pvt. Ltd. checked batch no. 17 twice.", "It costs Rs. 50.50 at most shops, incl. taxes."],
     ['"Is it fresh?" asked the buyer.', 'The seller answered, "We ship on Monday."', "U.S. buyers paid more than E.U. buyers did."],
