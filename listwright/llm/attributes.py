@@ -1,12 +1,16 @@
-"""Reading the attributes of a product listing: kind, variant, amount, pack count, added article and the words left over."""
+"""Reading the attributes of a product listing: kind, variant, amount, pack count, added article and the words left over.
+
+The lexicon of :mod:`listwright.llm.lexicon` names synonyms that are known beforehand. Words it doesn't know are left over
+for :mod:`listwright.llm.vocabulary`, which learns their part from the catalogue; ``known=False`` leaves all words to it.
+"""
 
 from __future__ import annotations
 
 import re
 import unicodedata
 from functools import lru_cache
-from itertools import product
 
+from listwright.functions.charfold import fold
 from listwright.functions.quantity import PACK_OF, amounts_in, packs_in, plain, spellings
 from listwright.llm.lexicon import ALSO_PRAISE, FILLERS, JOINERS, KINDS, PROMOTIONS, VARIANTS
 from listwright.operators.units import compositions
@@ -14,9 +18,9 @@ from listwright.operators.units import compositions
 _MARKS = {cp: None for cp in range(0x300, 0x370)}
 _TOKEN = re.compile(r"[ऀ-ॣॱ-ॿ]+|[^\W\d_ऀ-ॿ]+(?:['-][^\W\d_ऀ-ॿ]+)*")
 _PACKED = re.compile(rf"\b(?:{PACK_OF.replace(' ', '|')}) of \d+")
-_CODES = re.compile(r"\b(24k gold)\b|\b(spf) ?(\d{1,3})\b|\b(\d) in (1)\b|\b(\d{1,4}) ?(gb|tb)\b|\bmodel ([a-z]\d{1,4})\b|(?<![\w.,])([345]g)\b(?!\.)")
+_CODES = re.compile(r"\b(\d{1,2}k gold)\b|\b(spf) ?(\d{1,3})\b|\b(\d) in (1)\b|\b(\d{1,4}) ?(gb|tb)\b|\bmodel ([a-z]\d{1,4})\b|(?<![\w.,])([345]g)\b(?!\.)")
 _PROMOTIONS = [(p.strip(), re.compile(rf"(?<![^\s(\[|]){re.escape(p.strip())}(?=$|[\s)\]|,])")) for p in re.split("[;\n]", PROMOTIONS) if p.strip()]
-_CODE_HINTS = ("24k", "spf", "in 1", "gb", "tb", "model ", "3g", "4g", "5g")
+_CODE_HINTS = ("k gold", "spf", "in 1", "gb", "tb", "model ", "3g", "4g", "5g")
 
 
 def bare(text: str) -> str:
@@ -33,12 +37,17 @@ def without_promotions(text: str) -> str:
 
 
 def _lines(block: str) -> list[list[tuple[str, ...]]]:
-    return [[tuple(_TOKEN.findall(bare(p.strip()))) for p in line.split(";") if p.strip()] for line in block.strip().split("\n")]
+    phrases = [[p.strip() for p in line.split(";") if p.strip()] for line in block.strip().split("\n")]
+    # capitals and small letters of other scripts may look like different Latin ones
+    return [list(dict.fromkeys(tuple(_TOKEN.findall(bare(fold(form).lower()))) for p in line for form in (p, p.upper()))) for line in phrases]
 
 
 @lru_cache(1)
-def _vocabulary() -> tuple[list, list, dict[str, str], dict[str, list[str]], frozenset[str]]:
-    """(kinds, variants) as (phrase, name) from longest to shortest, words, words by deletion, words to pass over."""
+def _vocabulary() -> tuple[list, list, dict[str, str], dict[str, list[str]], frozenset[str], frozenset[str]]:
+    """(kinds, variants) as (phrase, name) from longest to shortest, words, words by deletion, words to pass over, those without promotions.
+
+    Phrases are folded like names are, so that a word of another script meets its folded spelling.
+    """
     kinds = sorted(((p, " ".join(line[0])) for line in _lines(KINDS) for p in line), key=lambda x: (-len(x[0]), x))
     variants = sorted(((p, " ".join(line[0])) for line in _lines(VARIANTS) for p in line), key=lambda x: (-len(x[0]), x))
     words = {w: w for p, _ in [*kinds, *variants] for w in p}
@@ -49,7 +58,7 @@ def _vocabulary() -> tuple[list, list, dict[str, str], dict[str, list[str]], fro
         if len(w) >= 4:
             for cut in {w, *(w[:k] + w[k + 1 :] for k in range(len(w)))}:
                 close.setdefault(cut, []).append(w)
-    return kinds, variants, words, close, frozenset(skip | promo)
+    return kinds, variants, words, close, frozenset(skip | promo), frozenset(skip)
 
 
 def _one_edit(a: str, b: str) -> bool:
@@ -70,7 +79,7 @@ def known_word(token: str) -> bool:
 @lru_cache(1 << 16)
 def _words(token: str) -> tuple[str, ...]:
     """The vocabulary words that a token may stand for, itself first, then those one edit off; '' for one to pass over."""
-    _, _, words, close, skip = _vocabulary()
+    _, _, words, close, skip, _ = _vocabulary()
     if token in skip and token not in words:
         return ("",)
     found = [token] if token in words else []
@@ -84,52 +93,47 @@ def _words(token: str) -> tuple[str, ...]:
     return tuple(w for w in found if w in words)
 
 
-@lru_cache(1 << 16)
-def _readings(tokens: tuple[str, ...]) -> tuple[str | None, str]:
-    """Kind and variant of a sequence of tokens; where their first meanings leave words over, others are tried."""
-    options = [_words(t) for t in tokens]
-    first = _kind_and_variant(tuple(o[0] for o in options))
-    if first[0] and "?" not in first[1]:
-        return first
-    for tried, choice in enumerate(product(*options)):
-        if tried > 64:
-            break
-        other = _kind_and_variant(choice)
-        if other[0] and "?" not in other[1]:
-            return other
-    return first
+def _take(phrase: tuple[str, ...], options: list[tuple[str, ...]], free: set[int]) -> list[int] | None:
+    """Tokens that stand for the words of a phrase, one each; those that spell a word out come before those that only may."""
+    if not phrase:
+        return []
+    fits = sorted((k for k in free if phrase[0] in options[k]), key=lambda k: (options[k].index(phrase[0]), k))
+    for k in fits:
+        if (rest := _take(phrase[1:], options, free - {k})) is not None:
+            return [k, *rest]
+    return None
 
 
 @lru_cache(1 << 16)
-def _kind_and_variant(words: tuple[str, ...]) -> tuple[str | None, str]:
-    """The reading of a bag of vocabulary words that leaves fewest words over."""
+def _readings(tokens: tuple[str, ...]) -> tuple[str | None, str, str]:
+    """(kind, variant, tokens left over): the reading that leaves fewest tokens over, over all meanings of every token."""
+    options = [_words(t) for t in tokens]
     kinds, variants, *_ = _vocabulary()
+    there = {w for o in options for w in o}
     best = None
     for phrase, name in [*kinds, ((), None)]:
-        left = list(words)
-        try:
-            for w in phrase:
-                left.remove(w)
-        except ValueError:
+        if not there.issuperset(phrase) or (at := _take(phrase, options, set(range(len(tokens))))) is None:
             continue
-        at = [words.index(w) for w in phrase]
-        found = []
+        free, found = set(range(len(tokens))) - {*at}, []
         for other, variant in variants:
-            while all(left.count(w) >= other.count(w) for w in other):
-                for w in other:
-                    left.remove(w)
+            while there.issuperset(other) and (used := _take(other, options, free)) is not None:
+                free -= {*used}
                 found.append(variant)
         if len({*found}) > 1:
             found = [v for v in found if v not in ALSO_PRAISE] or found
-        straight = len(phrase) > 1 and words[at[0] : at[0] + len(phrase)] == phrase
-        score = (name is None, len(left), -len(phrase), not straight, len(found), name)
+        straight = len(phrase) > 1 and at == list(range(at[0], at[0] + len(phrase)))
+        guessed = sum(options[k][0] != w for k, w in zip(at, phrase, strict=True))
+        score = (name is None, len(free), guessed, -len(phrase), not straight, len(found), name)
         if best is None or score < best[0]:
-            best = (score, name, " ".join(sorted({*found})) + ("" if not left else " ? " + " ".join(sorted(left))))
-    return best[1], best[2]
+            best = (score, name, " ".join(sorted({*found})), " ".join(tokens[k] for k in sorted(free)))
+    return best[1:]
+
 
+def read(name: str | None, known: bool = True) -> tuple[str | None, str, tuple[str, float] | None, list[int], str, str]:
+    """(kind, variant, (unit, amount) or null, pack counts, added article, words left over) of a listing's name.
 
-def read(name: str | None) -> tuple[str | None, str, tuple[str, float] | None, list[int], str, str]:
-    """(kind, variant, (unit, amount) or null, pack counts, added article, words left over) of a listing's name."""
+    Without ``known`` the kind is null, the variant holds codes only and all words are left over.
+    """
     if not name:
         return None, "", None, [], "", ""
     text = plain(name)
@@ -144,19 +148,19 @@ def read(name: str | None) -> tuple[str | None, str, tuple[str, float] | None, l
     rest_text = _PACKED.sub(" ", main) if " of " in main else main
     if any(h in rest_text for h in _CODE_HINTS):
         rest_text = _CODES.sub(code, rest_text)
-    known, over = [], []
+    read_, over = [], []
     for token in _TOKEN.findall(rest_text):
-        words = _words(token)
+        words = _words(token) if known else ("",) if token in _vocabulary()[5] else ()
         if not words:
             if len(token) > 1:
                 over.append(token)
         elif words[0]:
-            known.append(token)
-    kind, variant = _readings(tuple(known))
+            read_.append(token)
+    kind, variant, left = _readings(tuple(read_)) if read_ else (None, "", "")
     part = amounts_in(main)
     if extra and variant in ALSO_PRAISE:
         variant = ""
-    return kind, " ".join(filter(None, [*sorted({*extra}), variant])), total(part), packs_in(main), article(added), " ".join(over)
+    return kind, " ".join(filter(None, [*sorted({*extra}), variant])), total(part), packs_in(main), article(added), " ".join(filter(None, [*over, left]))
 
 
 def total(parts: list[tuple[float, str]]) -> tuple[str, float] | None:

@@ -18,7 +18,7 @@ dog food; pet food dog; dry dog meal
 extension cord; extension board; power strip
 fabric conditioner; fabric softener
 floor cleaner; surface cleaner
-fruit juice; jus de fruits; juice; cok
+fruit juice; jus de fruits; juice; сок
 fry pan; frying pan; tawa pan
 ground coffee; filter coffee; coffee powder; coffee
 gruyere slices; sliced gruyere; gruyere
@@ -35,7 +35,7 @@ peanut butter; groundnut spread
 pencil box; pencil case
 potato chips; aloo chips; crisps potato; crisps
 rolled oats; oats
-rose water; gulab jal; poδovεpo; poδonepo
+rose water; gulab jal; ροδόνερο
 round neck t-shirt; round neck tshirt; crew tee
 salted butter; table butter; makkhan
 shampoo; hair cleanser

@@ -1,18 +1,20 @@
 """Problem 2: listings of one product under different wording, grouped by probabilistic record linkage.
 
-1. Attributes are parsed from each listing: brand, product line, kind, variant, amount in a canonical unit, pack count and
-   the added article of a bundle.
+1. Attributes are parsed from each listing: brand, kind, variant, amount in a canonical unit, pack count and the added
+   article of a bundle. Words that no lexicon explains get their part (brand, product line or term) from the catalogue.
 2. Listings with equal attributes form one signature, so that copies never meet each other pair by pair.
-3. Signatures of a line are compared within blocks that leave one field free at a time.
-4. Agreement among random pairs comes from the value counts of each field; agreement among matches is fitted by
-   expectation-maximisation to the counts of comparison patterns, at most three to the power of the number of fields.
-5. Pairs above a posterior threshold that no field contradicts are links; groups are their connected components.
+3. Signatures are compared within blocks that leave one field free at a time, each field in levels.
+4. How often a field agrees, agrees in part or differs among matches and among the other pairs of a line, and the share of
+   matches, are fitted by expectation-maximisation to the counts of comparison patterns, whose number doesn't grow with the data.
+5. Pairs above a posterior threshold are links; groups are their connected components.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_, or_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -22,17 +24,30 @@ from pyspark.sql import types as T
 from listwright.functions.quantity import amounts, packs, spellings
 from listwright.llm import attributes
 from listwright.llm.components import connected_components
+from listwright.llm.vocabulary import with_words
 from listwright.runtime import spread, stored
 
 #: Relative difference up to which two amounts count as equal.
 TOLERANCE = 0.02
-FIELDS = ["brand", "kind", "variant", "amount", "pack", "article"]
-_KEY = ["line", "brand", "kind", "variant", "base", "amount", "pack", "article"]
+FIELDS = ["line", "brand", "kind", "variant", "terms", "amount", "pack", "article"]
+#: Levels of a comparison; null carries no evidence.
+DIFFERENT, PARTLY, EQUAL = 0, 1, 2
+#: Largest share of matches that differ in a field that was read on both sides.
+SLIP = 0.001
+_KEY = ["line", "brand", "kind", "variant", "terms", "base", "amount", "pack", "article"]
+_FREE = {"amount": ["base", "amount"], "kind": ["kind"], "variant": ["variant"], "terms": ["terms"], "pack": ["pack"], "article": ["article"], "line": ["line"], "brand": ["brand"]}
 _PARSED = [("brand", T.StringType()), ("kind", T.StringType()), ("variant", T.StringType()), ("base", T.StringType()), ("amount", T.DoubleType()), ("pack", T.IntegerType()), ("article", T.StringType()), ("over", T.StringType())]
+#: What is held of the agreement of unlike pairs beforehand, and as how many pairs it counts.
+PRIOR_AGREE, PRIOR_PAIRS = 0.2, 100
+#: Fields that give evidence only where both sides have them.
+BOTH_SIDES = ["line", "brand", "kind"]
+Pattern = tuple[int | None, ...]
+Chance = dict[tuple[str, str], tuple[float, float, float]]
 
 
-def parsed_listings(df: DataFrame, key: str, name: str = "product_name", brand: str = "brand", quantity: str = "quantity", value: str = "qty_value", unit: str = "qty_unit") -> DataFrame:
-    """``key`` and the parsed attributes. ``over`` holds the words of the name that no vocabulary explains.
+def parsed_listings(df: DataFrame, key: str, name: str = "product_name", brand: str = "brand", quantity: str = "quantity", value: str = "qty_value", unit: str = "qty_unit", known: bool = True) -> DataFrame:
+    """``key`` and the parsed attributes. ``over`` holds the words of the name that no lexicon explains; without ``known``
+    none is used.
 
     What the name leaves out comes from the other columns; a listing without any pack count counts as a pack of one.
     """
@@ -40,13 +55,13 @@ def parsed_listings(df: DataFrame, key: str, name: str = "product_name", brand:
     schema = T.StructType([slim.schema[0], *(T.StructField(n, t) for n, t in _PARSED)])
 
     def one(n: str | None, b: str | None, q: str | None, u: str | None, v: float | None, names: dict[str, str]) -> tuple:
-        kind, variant, part, count, added, over = attributes.read(n)
+        kind, variant, part, count, added, over = attributes.read(n, known)
         if part is None:
             parts = amounts(q, title=False)
             if not parts and u and v is not None and 0 < v < math.inf:
                 spelled = u.strip().lower().replace(" ", "").removesuffix(".")
-                known = "inch" if spelled == "in" else names.get(spelled)
-                parts = [(v, known)] if known else []
+                spelled = "inch" if spelled == "in" else names.get(spelled)
+                parts = [(v, spelled)] if spelled else []
             part = attributes.total(parts)
         count = count or packs(q) or [1]
         base, amount = part or (None, None)
@@ -63,126 +78,169 @@ def parsed_listings(df: DataFrame, key: str, name: str = "product_name", brand:
     return spread(slim).mapInArrow(run, schema)
 
 
-def with_lines(parsed: DataFrame) -> DataFrame:
-    """``parsed`` with ``line``, the left-over words that occur in no brand, and ``brand`` filled from those that do.
-
-    The word lists meet in joins on distinct left-overs, so nothing is held on the driver.
-    """
-    words = parsed.select(F.explode(F.split("brand", " ")).alias("w")).distinct()
-    rests = parsed.where("over <> ''").select("over").distinct()
-    each = rests.select("over", F.posexplode(F.split("over", " ")).alias("p", "w"))
-    marked = each.join(words.withColumn("known", F.lit(True)), "w", "left")
-    pick = lambda known: F.array_join(F.transform(F.array_sort(F.collect_set(F.when(known, F.struct("p", "w")))), lambda x: x["w"]), " ")
-    named = marked.groupBy("over").agg(pick(F.col("known").isNull()).alias("line"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("known"), F.col("w")))), " ").alias("named"))
-    some = lambda c: F.when(F.col(c) != "", F.col(c))
-    return parsed.join(named, "over", "left").withColumn("line", some("line")).withColumn("brand", F.coalesce("brand", some("named"))).drop("over", "named")
+def _within(x: Column, y: Column) -> Column:
+    """Does one of two word lists, apart by blanks, hold all words of the other?"""
+    a, b = F.split(x, " "), F.split(y, " ")
+    return (F.size(F.array_except(a, b)) == 0) | (F.size(F.array_except(b, a)) == 0)
 
 
 def comparisons() -> list[Column]:
-    """One column per field of a pair ``x, y`` of signatures: equal or not.
+    """One level per field of a pair ``x, y`` of signatures: 2 equal, 1 partly equal, 0 different, null without evidence.
 
-    Null, which carries no evidence, is a brand missing on either side or an amount missing on both; an amount, kind,
-    variant or article that only one side has is a difference.
+    Words agree in part where one side has all of the other's or, for lines and brands, one letter differs; amounts, where
+    only one side states one. A line, brand or kind that is missing carries no evidence; a variant, term or article that
+    only one side has is a difference.
     """
+    x, y = lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}")
     low, high = F.least("x.amount", "y.amount"), F.greatest("x.amount", "y.amount")
-    both = F.col("x.amount").isNotNull() & F.col("y.amount").isNotNull()
-    close = F.when(both, (F.col("x.base") == F.col("y.base")) & (high - low <= TOLERANCE * low)).when(F.col("x.amount").isNotNull() | F.col("y.amount").isNotNull(), False)
-    own = {"amount": close, "brand": F.col("x.brand") == F.col("y.brand")}
-    return [own.get(f, F.col(f"x.{f}").eqNullSafe(F.col(f"y.{f}"))).alias(f) for f in FIELDS]
+    none = lambda c: x(c).isNull() & y(c).isNull()
+    level = lambda equal, partly=F.lit(False): F.when(equal, EQUAL).when(partly, PARTLY).otherwise(DIFFERENT)
+    near = lambda c: (F.levenshtein(x(c), y(c), 1) >= 0) | _within(x(c), y(c))
+    own = {
+        "line": F.when(x("line").isNotNull() & y("line").isNotNull(), level(x("line") == y("line"), near("line"))),
+        "brand": F.when(x("brand").isNotNull() & y("brand").isNotNull(), level(x("brand") == y("brand"), near("brand"))),
+        "kind": F.when(x("kind").isNotNull() & y("kind").isNotNull(), level(x("kind") == y("kind"))),
+        "amount": F.when(~none("amount"), level(F.coalesce((x("base") == y("base")) & (high - low <= TOLERANCE * low), F.lit(False)), x("amount").isNull() | y("amount").isNull())),
+        "pack": level(x("pack") == y("pack")),
+        **{c: F.when(~none(c), level(x(c).eqNullSafe(y(c)), F.coalesce(_within(x(c), y(c)), F.lit(False)))) for c in ("variant", "terms")},
+        "article": F.when(~none("article"), level(x("article").eqNullSafe(y("article")))),
+    }
+    return [own[f].cast("int").alias(f) for f in FIELDS]
 
 
 def block_pairs(signatures: DataFrame) -> DataFrame:
-    """``x, y`` with their comparison patterns: pairs of signatures of one line that agree in all but one field.
+    """``u, v`` with their comparison levels: pairs of signatures that agree in all but one field.
 
-    The brand is in no block. A pair that agrees in all fields is kept from the first block only. The size of a block is
-    the number of distinct values of its free field, not of listings.
+    The brand is only in the block that leaves the line free; listings without a line use their brand in its place. A pair
+    that several blocks hold is kept from the first. The size of a block is the number of distinct values of its free
+    field, not of listings. Signatures with neither line nor brand are in no block.
     """
-    free = ["amount", "kind", "variant", "pack", "article"]
-    values = {"amount": ["base", "amount"], **{f: [f] for f in free[1:]}}
-    keys = F.array(*[F.struct(F.lit(k).alias("pass"), F.xxhash64("line", *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for f in free if f != g for c in values[f]]).alias("h")) for k, g in enumerate(free)])
-    blocked = signatures.where(F.col("line").isNotNull()).select("id", *_KEY, F.explode(keys).alias("key")).select("id", *_KEY, "key.pass", "key.h")
-    held = lambda f: F.lit(True) if f == free[0] else F.lit(False)
-    equal = {f: F.struct(*[F.col(f"x.{c}") for c in values[f]]).eqNullSafe(F.struct(*[F.col(f"y.{c}") for c in values[f]])) for f in free}
-    met = blocked.alias("x").join(blocked.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.pass") == F.col("y.pass")) & (F.col("x.line") == F.col("y.line")) & (F.col("x.id") < F.col("y.id")))
-    agreed = F.lit(True)
-    for f in free:
-        agreed = agreed & (equal[f] | (F.col("x.pass") == free.index(f)))
-    fresh = F.lit(False)
-    for k, f in enumerate(free):
-        fresh = fresh | ((F.col("x.pass") == k) & (held(f) | ~equal[f]))
-    return met.where(agreed & fresh).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), *comparisons())
-
-
-def chance_agreement(signatures: DataFrame) -> list[float]:
-    """For each field, the probability that two random listings agree, from the counts of all its values.
-
-    Amounts are counted in steps of the tolerance, of which a listing agrees with two. Nulls agree with nothing.
+    passes = ["amount", "kind", "variant", "terms", "pack", "article", "line"]
+    place = F.coalesce(F.concat(F.lit("l"), F.col("line")), F.concat(F.lit("b"), F.col("brand")))
+    of = lambda g: [F.col("brand") if g == "line" else place, *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for f in passes if f not in (g, "line") for c in _FREE[f]]]
+    bare = F.col("kind").isNull() & F.col("terms").isNull()  # nothing but a brand to go by
+    keys = [F.when(place.isNotNull() if g != "line" else F.col("brand").isNotNull() & ~bare, F.struct(F.lit(k).alias("pass"), F.xxhash64(F.lit(k), *of(g)).alias("h"))) for k, g in enumerate(passes)]
+    blocked = signatures.select("id", "n", *_KEY, F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("key")).select("id", "n", *_KEY, "key.pass", "key.h")
+    equal = {f: F.struct(*[F.col(f"x.{c}") for c in cs]).eqNullSafe(F.struct(*[F.col(f"y.{c}") for c in cs])) for f, cs in _FREE.items()}
+    spot = F.coalesce("x.line", F.concat(F.lit("\0"), "x.brand")) == F.coalesce("y.line", F.concat(F.lit("\0"), "y.brand"))
+    met = blocked.alias("x").join(blocked.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")))
+    here = []
+    for g in passes:
+        at = equal["brand"] if g == "line" else spot
+        here.append(reduce(and_, [equal[f] for f in passes if f not in (g, "line")], at))
+    kept = [(F.col("x.pass") == k) & here[k] & ~reduce(or_, here[:k], F.lit(False)) for k in range(len(passes))]
+    return met.where(reduce(or_, kept)).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), (F.col("x.n") * F.col("y.n")).alias("n"), *comparisons())
+
+
+def chance_counts(signatures: DataFrame) -> Chance:
+    """For pairs of listings of one line and of one brand, and for each field: (pairs, those with evidence, equal ones).
+
+    They follow from the counts of values, so no pair is formed. Amounts are counted in steps of the tolerance.
     """
-    step = F.concat_ws(" ", "base", F.floor(F.log("amount") / math.log1p(TOLERANCE)).cast("string"))
-    own = {"amount": F.when(F.col("amount").isNotNull(), step)}
-    values = F.array(*[F.struct(F.lit(k).alias("k"), own.get(f, F.coalesce(F.col(f).cast("string"), F.lit("")) if f in ("article", "variant", "kind") else F.col(f).cast("string")).alias("v")) for k, f in enumerate(FIELDS)])
-    counts = signatures.select("n", F.explode(values).alias("x")).where("x.v is not null").groupBy("x.k", "x.v").agg(F.sum("n").cast("double").alias("c"))
-    rows = counts.groupBy("k").agg((F.sum(F.col("c") * F.col("c")) / (F.sum("c") * F.sum("c"))).alias("u")).collect()  # a row per field
-    found = {r.k: r.u * (2 if FIELDS[r.k] == "amount" else 1) for r in rows}
-    return [min(max(found.get(k, 0.5), 1e-6), 0.9) for k in range(len(FIELDS))]
-
-
-def fit_weights(patterns: list[tuple[tuple[bool | None, ...], float]], chance: list[float], rounds: int = 200) -> dict[tuple[bool | None, ...], float]:
+    step = F.when(F.col("amount").isNotNull(), F.concat_ws(" ", "base", F.floor(F.log("amount") / math.log1p(TOLERANCE)).cast("string")))
+    value = {f: step if f == "amount" else F.col(f).cast("string") for f in FIELDS}
+    place = {"line": F.coalesce(F.concat(F.lit("l"), F.col("line")), F.concat(F.lit("b"), F.col("brand"))), "brand": F.col("brand")}
+    cells = F.array(*[F.struct(F.lit(s).alias("s"), g.alias("g"), F.lit(f).alias("f"), value[f].alias("v")) for s, g in place.items() for f in FIELDS])
+    counts = signatures.select("n", F.explode(cells).alias("x")).where("x.g is not null").groupBy("x.s", "x.f", "x.g", "x.v").agg(F.sum("n").cast("double").alias("c"))
+    two = lambda c: c * (c - 1) / 2
+    each = counts.groupBy("s", "f", "g").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0.0)).alias("filled"), F.sum(F.when(F.col("v").isNotNull(), two(F.col("c"))).otherwise(0.0)).alias("equal"))
+    both = F.col("f").isin(*BOTH_SIDES)
+    evidence = F.when(both, two(F.col("filled"))).otherwise(two(F.col("n")) - two(F.col("n") - F.col("filled")))
+    rows = each.groupBy("s", "f").agg(F.sum(two(F.col("n"))).alias("pairs"), F.sum(evidence).alias("evidence"), F.sum("equal").alias("equal")).collect()  # two rows a field
+    return {(r.s, r.f): (r.pairs, r.evidence, r.equal) for r in rows}
+
+
+def fit_weights(patterns: list[tuple[Pattern, float]], chance: Chance, slip: float = SLIP, rounds: int = 500) -> dict[Pattern, float]:
     """Posterior probability of a match for every comparison pattern, by expectation-maximisation.
 
-    ``patterns`` are (agreement per field, count), ``chance`` the agreement of each field among random pairs, which stays
-    fixed: blocks hold too few unlike pairs to estimate it, and the classes can't change places. Agreement among matches
-    and the share of matches are fitted. Missing fields carry no evidence; fields are taken as independent given the
-    class. Deterministic; no patterns give an empty result.
+    ``patterns`` are (level per field, count of pairs). They are judged against all pairs of one line or, where the line
+    differs, of one brand, of which blocks hold a selection; ``chance`` gives the numbers of these and of the ones that
+    agree in each field. Fitted are the share of matches among them, the frequencies of levels among matches, and those
+    among the other pairs, which are what the fitted matches leave of ``chance``. Fields are taken as independent given
+    the class; null levels carry no evidence. Fields are read well: at most ``slip`` of the matches differ in one, which
+    tells the classes apart, since sister products agree in all fields but one more often than independent fields would.
+    Deterministic; no patterns give an empty result.
     """
-    width = len(chance)
-    m, share = [0.95] * width, 0.5
-    post: dict[tuple[bool | None, ...], float] = {}
+    stratum = {p: "brand" if p[0] in (DIFFERENT, PARTLY) else "line" for p, _ in patterns}
+    first = [slip, 0.08, 0.92 - slip]
+    m = [first for _ in FIELDS]
+    matched = {(s, k): [0.0, 0.0, 0.0] for s in ("line", "brand") for k in range(len(FIELDS))}
+    share, post = dict.fromkeys(("line", "brand"), 0.1), {}
+
+    def whole(s: str, f: str) -> tuple[float, float, float]:
+        inner = chance.get(("line", f), (0.0, 0.0, 0.0))
+        if s == "line":
+            return inner
+        return tuple(max(0.0, x - y) for x, y in zip(chance.get(("brand", f), (0.0, 0.0, 0.0)), inner, strict=True))
+
+    def others(s: str, k: int) -> list[float]:
+        """Frequencies of levels among the pairs of a stratum that aren't matches."""
+        _, evidence, equal = whole(s, FIELDS[k])
+        hit = matched[s, k]
+        same = 0.0 if FIELDS[k] == "line" else (max(0.0, equal - hit[EQUAL]) + PRIOR_AGREE * PRIOR_PAIRS) / (max(0.0, evidence - sum(hit)) + PRIOR_PAIRS)
+        left = [sum(n * (1 - post.get(p, 0.5)) for p, n in patterns if p[k] == x and stratum[p] == s) + 1 for x in (DIFFERENT, PARTLY)]
+        same = min(same, 0.99)
+        return [(1 - same) * left[0] / sum(left), (1 - same) * left[1] / sum(left), same]
+
     for _ in range(rounds):
-        before = dict(post)
+        u = {sk: others(*sk) for sk in matched}
+        before, post = post, {}
         for p, _ in patterns:
-            a, b = math.log(share), math.log(1 - share)
-            for x, yes, no in zip(p, m, chance, strict=True):
-                if x is not None:
-                    a += math.log(yes if x else 1 - yes)
-                    b += math.log(no if x else 1 - no)
-            post[p] = 1 / (1 + math.exp(min(700, b - a)))
-        total = sum(n for _, n in patterns)
-        share = min(max((sum(n * post[p] for p, n in patterns) + 1) / (total + 2), 1e-6), 1 - 1e-6)
-        for k in range(width):
-            seen = [(p[k], n * post[p]) for p, n in patterns if p[k] is not None]
-            agreed, whole = sum(w for x, w in seen if x), sum(w for _, w in seen)
-            m[k] = min(max((agreed + 1) / (whole + 1.05), chance[k], 0.5), 1 - 1e-4)  # a match agrees rather than not
+            s = stratum[p]
+            odds = math.log(share[s]) - math.log(1 - share[s])
+            for k, x in enumerate(p):
+                if x is not None and not (s == "line" and FIELDS[k] == "line"):
+                    odds += math.log(m[k][x]) - math.log(u[s, k][x])
+            post[p] = 1 / (1 + math.exp(-min(700.0, max(-700.0, odds))))
+        for s in share:
+            found = sum(n * post[p] for p, n in patterns if stratum[p] == s)
+            share[s] = min(max((found + 0.1) / (max(found, whole(s, "pack")[0]) + 1), 1e-12), 0.5)
+        for k, f in enumerate(FIELDS):
+            for s in share:
+                matched[s, k] = [sum(n * post[p] for p, n in patterns if p[k] == x and stratum[p] == s) for x in (DIFFERENT, PARTLY, EQUAL)]
+            seen = [first[x] + sum(matched[s, k][x] for s in share if f != "line" or s == "brand") for x in (DIFFERENT, PARTLY, EQUAL)]
+            m[k] = [x / sum(seen) for x in seen]
+            if m[k][DIFFERENT] > slip:
+                rest = (1 - slip) / (m[k][PARTLY] + m[k][EQUAL])
+                m[k] = [slip, m[k][PARTLY] * rest, m[k][EQUAL] * rest]
         if before and max(abs(post[p] - before[p]) for p in post) < 1e-9:
             break
     return post
 
 
-def product_groups(df: DataFrame, key: str, threshold: float = 0.5) -> DataFrame:
-    """``key, group_id``: every listing with a recognised product line, and the smallest key of its product.
+def pattern_counts(pairs: DataFrame, signatures: DataFrame) -> list[tuple[Pattern, float]]:
+    """(level per field, pairs of listings) over block pairs and over the pairs inside signatures, which agree in all they have."""
+    counts = pairs.groupBy(*FIELDS).agg(F.sum("n").cast("double").alias("count"))
+    inside = [F.when(F.col(f).isNotNull(), EQUAL).alias(f) for f in FIELDS]
+    alike = signatures.groupBy(*inside).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("count")).where("count > 0")
+    merged: dict[Pattern, float] = {}
+    for row in [*counts.collect(), *alike.collect()]:  # at most 4 ** len(FIELDS) rows, whatever the data
+        merged[tuple(row[:-1])] = merged.get(tuple(row[:-1]), 0.0) + float(row[-1])
+    return sorted(merged.items(), key=lambda x: [(v is None, v) for v in x[0]])
+
 
-    Listings without a line word stay ungrouped and are left out. Repeated rows of a key count once.
+def product_groups(df: DataFrame, key: str, threshold: float = 0.5, known: bool = True, weights=fit_weights) -> DataFrame:
+    """``key, group_id``: every listing and the smallest key of its product.
+
+    ``known`` uses the lexicon of synonyms besides what the catalogue teaches; ``weights`` turns pattern counts into
+    posteriors. A listing that has neither a line nor a brand with any other word is a group of its own. Null keys are left out,
+    repeated rows of a key count once.
     """
     spark = df.sparkSession
-    lined = stored(with_lines(stored(parsed_listings(df.where(F.col(key).isNotNull()), key), "parsed")).where(F.col("line").isNotNull()), "lined")
-    signatures = stored(lined.groupBy(*_KEY).agg(F.min(key).alias("id"), F.count_distinct(key).alias("n")), "signatures")
+    parsed = stored(parsed_listings(df.where(F.col(key).isNotNull()), key, known=known), "parsed")
+    lined = stored(with_words(parsed), "lined")
+    placed = lined.where("line is not null or brand is not null and (kind is not null or terms is not null)")
+    signatures = stored(placed.groupBy(*_KEY).agg(F.min(key).alias("id"), F.count_distinct(key).alias("n")), "signatures")
     pairs = stored(block_pairs(signatures), "pairs")
-    counts = pairs.groupBy(*FIELDS).count().collect()  # at most 3 ** len(FIELDS) rows
-    full = [F.when(F.col(f).isNotNull(), True).alias(f) if f in ("brand", "amount") else F.lit(True).alias(f) for f in FIELDS]
-    # two listings of one signature agree in every field: they count without being enumerated
-    alike = signatures.groupBy(*full).agg(F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("count")).where("count > 0").collect()
-    merged: dict[tuple[bool | None, ...], float] = {}
-    for row in [*counts, *alike]:
-        merged[tuple(row[:-1])] = merged.get(tuple(row[:-1]), 0.0) + float(row[-1])
-    post = fit_weights(sorted(merged.items(), key=lambda x: [(v is None, v) for v in x[0]]), chance_agreement(signatures))
-    good = [p for p, w in post.items() if w >= threshold and False not in p]
-    linked = spark.createDataFrame(good, T.StructType([T.StructField(f, T.BooleanType()) for f in FIELDS]))
+    post = weights(pattern_counts(pairs, signatures), chance_counts(signatures))
+    good = [p for p, w in post.items() if w >= threshold]
+    linked = spark.createDataFrame(good, T.StructType([T.StructField(f, T.IntegerType()) for f in FIELDS]))
     agree = [pairs[f].eqNullSafe(linked[f]) for f in FIELDS]
-    links = pairs.join(F.broadcast(linked), agree, "left_semi").select("u", "v")  # a row per pattern, at most 2 ** len(FIELDS)
+    links = pairs.join(F.broadcast(linked), agree, "left_semi").select("u", "v")  # a row per pattern, at most 4 ** len(FIELDS)
     groups = connected_components(links).withColumnRenamed("group_id", "g")
     grouped = signatures.join(groups, "id", "left").select(*_KEY, F.coalesce("g", "id").alias("group_id"))
     same = [lined[c].eqNullSafe(grouped[c]) for c in _KEY]
-    return lined.join(grouped, same).select(lined[key], "group_id").distinct()
+    return lined.join(grouped, same, "left").select(lined[key], F.coalesce("group_id", lined[key]).alias("group_id")).distinct()
 
 
 def product_pairs(groups: DataFrame, key: str) -> DataFrame:
