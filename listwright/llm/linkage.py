@@ -14,7 +14,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from functools import reduce
-from operator import and_, or_
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -108,28 +108,31 @@ def comparisons() -> list[Column]:
     return [own[f].cast("int").alias(f) for f in FIELDS]
 
 
+def _place() -> Column:
+    """Where a listing is looked for: its line or, without one, its brand."""
+    return F.coalesce(F.concat(F.lit("l"), F.col("line")), F.concat(F.lit("b"), F.col("brand")))
+
+
 def block_pairs(signatures: DataFrame) -> DataFrame:
-    """``u, v`` with their comparison levels: pairs of signatures that agree in all but one field.
+    """``u, v, n`` with their comparison levels: pairs of signatures that agree in all but one field.
 
-    The brand is only in the block that leaves the line free; listings without a line use their brand in its place. A pair
-    that several blocks hold is kept from the first. The size of a block is the number of distinct values of its free
-    field, not of listings. Signatures with neither line nor brand are in no block.
+    The brand is only in the block that leaves the line free; listings without a line use their brand in its place. The
+    size of a block is the number of distinct values of its free field, not of listings. Signatures with neither line nor
+    brand are in no block. Blocks shuffle an id and a hash; the attributes join the pairs, which makes hash collisions fall out.
     """
     passes = ["amount", "kind", "variant", "terms", "pack", "article", "line"]
-    place = F.coalesce(F.concat(F.lit("l"), F.col("line")), F.concat(F.lit("b"), F.col("brand")))
-    of = lambda g: [F.col("brand") if g == "line" else place, *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for f in passes if f not in (g, "line") for c in _FREE[f]]]
+    of = lambda g: [F.col("brand") if g == "line" else _place(), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for f in passes if f not in (g, "line") for c in _FREE[f]]]
     bare = F.col("kind").isNull() & F.col("terms").isNull()  # nothing but a brand to go by
-    keys = [F.when(place.isNotNull() if g != "line" else F.col("brand").isNotNull() & ~bare, F.struct(F.lit(k).alias("pass"), F.xxhash64(F.lit(k), *of(g)).alias("h"))) for k, g in enumerate(passes)]
-    blocked = signatures.select("id", "n", *_KEY, F.explode(F.filter(F.array(*keys), lambda k: k.isNotNull())).alias("key")).select("id", "n", *_KEY, "key.pass", "key.h")
-    equal = {f: F.struct(*[F.col(f"x.{c}") for c in cs]).eqNullSafe(F.struct(*[F.col(f"y.{c}") for c in cs])) for f, cs in _FREE.items()}
-    spot = F.coalesce("x.line", F.concat(F.lit("\0"), "x.brand")) == F.coalesce("y.line", F.concat(F.lit("\0"), "y.brand"))
-    met = blocked.alias("x").join(blocked.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("x.id") < F.col("y.id")))
-    here = []
-    for g in passes:
-        at = equal["brand"] if g == "line" else spot
-        here.append(reduce(and_, [equal[f] for f in passes if f not in (g, "line")], at))
-    kept = [(F.col("x.pass") == k) & here[k] & ~reduce(or_, here[:k], F.lit(False)) for k in range(len(passes))]
-    return met.where(reduce(or_, kept)).select(F.col("x.id").alias("u"), F.col("y.id").alias("v"), (F.col("x.n") * F.col("y.n")).alias("n"), *comparisons())
+    keys = [F.when(_place().isNotNull() if g != "line" else F.col("brand").isNotNull() & ~bare, F.xxhash64(F.lit(k), *of(g))) for k, g in enumerate(passes)]
+    blocked = signatures.select("id", F.explode(F.filter(F.array(*keys), lambda h: h.isNotNull())).alias("h"))
+    x, y = blocked.select(F.col("id").alias("u"), "h"), blocked.select(F.col("id").alias("v"), "h")
+    met = x.join(y, "h").where("u < v").select("u", "v").distinct()
+    side = signatures.select("id", "n", _place().alias("place"), *_KEY)
+    full = met.join(side.alias("x"), F.col("u") == F.col("x.id")).join(side.alias("y"), F.col("v") == F.col("y.id"))
+    same = lambda *cs: reduce(and_, [F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}")) for c in cs])
+    apart = reduce(lambda a, b: a + b, [F.when(same(*(["place"] if f == "line" else _FREE[f])), 0).otherwise(1) for f in passes])
+    kept = full.where((apart <= 1) & (same("place") | (F.col("x.brand") == F.col("y.brand"))))
+    return kept.select("u", "v", (F.col("x.n") * F.col("y.n")).alias("n"), *comparisons())
 
 
 def chance_counts(signatures: DataFrame) -> Chance:
@@ -137,10 +140,10 @@ def chance_counts(signatures: DataFrame) -> Chance:
 
     They follow from the counts of values, so no pair is formed. Amounts are counted in steps of the tolerance.
     """
-    step = F.when(F.col("amount").isNotNull(), F.concat_ws(" ", "base", F.floor(F.log("amount") / math.log1p(TOLERANCE)).cast("string")))
-    value = {f: step if f == "amount" else F.col(f).cast("string") for f in FIELDS}
-    place = {"line": F.coalesce(F.concat(F.lit("l"), F.col("line")), F.concat(F.lit("b"), F.col("brand"))), "brand": F.col("brand")}
-    cells = F.array(*[F.struct(F.lit(s).alias("s"), g.alias("g"), F.lit(f).alias("f"), value[f].alias("v")) for s, g in place.items() for f in FIELDS])
+    value = {f: F.xxhash64(f) for f in FIELDS} | {"amount": F.xxhash64("base", F.floor(F.log("amount") / math.log1p(TOLERANCE)))}
+    filled = lambda f: F.when(F.col(f).isNotNull(), value[f])
+    place = {"line": _place(), "brand": F.col("brand")}
+    cells = F.array(*[F.struct(F.lit(s).alias("s"), F.when(g.isNotNull(), F.xxhash64(g)).alias("g"), F.lit(f).alias("f"), filled(f).alias("v")) for s, g in place.items() for f in FIELDS if f != "line" and (s, f) != ("brand", "brand")])
     counts = signatures.select("n", F.explode(cells).alias("x")).where("x.g is not null").groupBy("x.s", "x.f", "x.g", "x.v").agg(F.sum("n").cast("double").alias("c"))
     two = lambda c: c * (c - 1) / 2
     each = counts.groupBy("s", "f", "g").agg(F.sum("c").alias("n"), F.sum(F.when(F.col("v").isNotNull(), F.col("c")).otherwise(0.0)).alias("filled"), F.sum(F.when(F.col("v").isNotNull(), two(F.col("c"))).otherwise(0.0)).alias("equal"))
@@ -168,7 +171,7 @@ def fit_weights(patterns: list[tuple[Pattern, float]], chance: Chance, slip: flo
     share, post = dict.fromkeys(("line", "brand"), 0.1), {}
 
     def whole(s: str, f: str) -> tuple[float, float, float]:
-        inner = chance.get(("line", f), (0.0, 0.0, 0.0))
+        inner = chance.get(("line", f), (0.0, 0.0, 0.0))  # no field: no evidence
         if s == "line":
             return inner
         return tuple(max(0.0, x - y) for x, y in zip(chance.get(("brand", f), (0.0, 0.0, 0.0)), inner, strict=True))
@@ -228,9 +231,10 @@ def product_groups(df: DataFrame, key: str, threshold: float = 0.5, known: bool
     """
     spark = df.sparkSession
     parsed = stored(parsed_listings(df.where(F.col(key).isNotNull()), key, known=known), "parsed")
-    lined = stored(with_words(parsed), "lined")
+    hashes = [F.xxhash64(*([F.lit(k)] if k else []), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in _KEY]).alias(f"h{k + 1}") for k in range(2)]
+    lined = stored(with_words(parsed).select(key, *_KEY, *hashes), "lined")  # 128 bits name a signature
     placed = lined.where("line is not null or brand is not null and (kind is not null or terms is not null)")
-    signatures = stored(placed.groupBy(*_KEY).agg(F.min(key).alias("id"), F.count_distinct(key).alias("n")), "signatures")
+    signatures = stored(placed.groupBy("h1", "h2").agg(F.min(key).alias("id"), F.count_distinct(key).alias("n"), *[F.first(c).alias(c) for c in _KEY]), "signatures")
     pairs = stored(block_pairs(signatures), "pairs")
     post = weights(pattern_counts(pairs, signatures), chance_counts(signatures))
     good = [p for p, w in post.items() if w >= threshold]
@@ -238,9 +242,8 @@ def product_groups(df: DataFrame, key: str, threshold: float = 0.5, known: bool
     agree = [pairs[f].eqNullSafe(linked[f]) for f in FIELDS]
     links = pairs.join(F.broadcast(linked), agree, "left_semi").select("u", "v")  # a row per pattern, at most 4 ** len(FIELDS)
     groups = connected_components(links).withColumnRenamed("group_id", "g")
-    grouped = signatures.join(groups, "id", "left").select(*_KEY, F.coalesce("g", "id").alias("group_id"))
-    same = [lined[c].eqNullSafe(grouped[c]) for c in _KEY]
-    return lined.join(grouped, same, "left").select(lined[key], F.coalesce("group_id", lined[key]).alias("group_id")).distinct()
+    grouped = signatures.select("id", "h1", "h2").join(groups, "id", "left").select("h1", "h2", F.coalesce("g", "id").alias("group_id"))
+    return lined.select(key, "h1", "h2").join(grouped, ["h1", "h2"], "left").select(key, F.coalesce("group_id", key).alias("group_id")).distinct()
 
 
 def product_pairs(groups: DataFrame, key: str) -> DataFrame:

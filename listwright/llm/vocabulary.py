@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from listwright.operators.spelling import corrections
-from listwright.runtime import drop_stored, stored
+from listwright.runtime import broadcast_if_small, drop_stored, stored
 
 #: Distinct brands with which a word has to occur to be a term.
 BRANDS = 3
@@ -104,11 +104,11 @@ def with_words(parsed: DataFrame) -> DataFrame:
     """
     roles = stored(word_roles(parsed), "roles")
     some = lambda c: F.when(F.col(c) != "", F.col(c))
-    each = parsed.where("over <> ''").select("over").distinct().select("over", F.posexplode(F.split("over", " ")).alias("p", "w")).join(roles, "w")
+    each = parsed.where("over <> ''").select("over").distinct().select("over", F.posexplode(F.split("over", " ")).alias("p", "w")).join(broadcast_if_small(roles), "w")
     role = lambda r: F.col("role") == r
     in_order = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.when(role("line"), F.struct("p", "w")))), lambda x: x["w"]))
     cut = each.groupBy("over").agg(F.array_join(in_order, " ").alias("line"), _sorted_words(role("brand")).alias("named"), F.array_sort(F.collect_set(F.when(role("term"), F.col("to")))).alias("words"))
-    split = parsed.join(cut, "over", "left").withColumn("line", some("line")).withColumn("brand", F.coalesce("brand", some("named"))).drop("named")
+    split = parsed.join(broadcast_if_small(stored(cut, "cut")), "over", "left").withColumn("line", some("line")).withColumn("brand", F.coalesce("brand", some("named"))).drop("named")
     if roles.where("role = 'term'").isEmpty():
         return split.drop("over", "words").withColumn("terms", F.lit(None).cast("string"))
     split = stored(split, "split")
