@@ -68,9 +68,11 @@ def plain(text: str) -> str:
     return _TIMES.sub(" x ", text)
 
 
-def number(text: str) -> Fraction | None:
+def number(text: str) -> Fraction | int | None:
     """A decimal, thousands, decimal-comma, fraction or mixed number; null for a zero denominator."""
     text = text.strip()
+    if text.isdecimal():
+        return int(text)
     if text == "half":
         return Fraction(1, 2)
     if text[-1] in _VULGAR:
