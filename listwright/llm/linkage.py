@@ -227,14 +227,14 @@ def product_groups(df: DataFrame, key: str, threshold: float = 0.5, known: bool
 
     ``known`` uses the lexicon of synonyms besides what the catalogue teaches; ``weights`` turns pattern counts into
     posteriors. A listing that has neither a line nor a brand with any other word is a group of its own. Null keys are left out,
-    repeated rows of a key count once.
+    repeated rows of a key weigh in the statistics and give one result row.
     """
     spark = df.sparkSession
     parsed = stored(parsed_listings(df.where(F.col(key).isNotNull()), key, known=known), "parsed")
     hashes = [F.xxhash64(*([F.lit(k)] if k else []), *[F.coalesce(F.col(c).cast("string"), F.lit("\0")) for c in _KEY]).alias(f"h{k + 1}") for k in range(2)]
     lined = stored(with_words(parsed).select(key, *_KEY, *hashes), "lined")  # 128 bits name a signature
     placed = lined.where("line is not null or brand is not null and (kind is not null or terms is not null)")
-    signatures = stored(placed.groupBy("h1", "h2").agg(F.min(key).alias("id"), F.count_distinct(key).alias("n"), *[F.first(c).alias(c) for c in _KEY]), "signatures")
+    signatures = stored(placed.groupBy("h1", "h2", *_KEY).agg(F.min(key).alias("id"), F.count("*").alias("n")), "signatures")
     pairs = stored(block_pairs(signatures), "pairs")
     post = weights(pattern_counts(pairs, signatures), chance_counts(signatures))
     good = [p for p, w in post.items() if w >= threshold]
