@@ -2,7 +2,8 @@
 
 Records are compared on completeness, recency and trust. A record that no other one beats in all three lies in the first
 dominance layer, the skyline; the next layer is the skyline of the rest, and so on. A lexicographic policy picks within
-a layer; a field that the pick lacks is filled from the next layer that has it.
+a layer. A field that the pick lacks is filled from the records that have it, again layer by layer and by the policy
+within a layer, so that a record without the field hides none that has it.
 
 Groups are reduced before they are gathered: of the records of one trust rank that have the same fields filled only the
 latest can ever supply a value, so a group shrinks to at most ranks x 2 ** fields records, whatever its size.
@@ -12,6 +13,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,6 +29,8 @@ from listwright.runtime import broadcast_if_small, stored
 
 #: Rank of a record whose source is not ranked: behind all others.
 NO_RANK = 2**31 - 1
+#: What decides within a layer, in this order.
+POLICY = ("trust", "recency", "completeness")
 
 
 def usable(column: str | Column) -> Column:
@@ -47,13 +52,13 @@ def layers(records: list[tuple]) -> list[int]:
     return out
 
 
-def survivors(df: DataFrame, group: str, fields: list[str], recency: str, rank: str, policy: tuple[str, ...] = ("trust", "recency", "completeness")) -> DataFrame:
+def survivors(df: DataFrame, group: str, fields: list[str], recency: str, rank: str, policy: tuple[str, ...] = POLICY) -> DataFrame:
     """One surviving record per group, in long form: ``group, field_name, field_value, layer, clear, varied``.
 
     ``rank`` is 1 for the most trusted source; null ranks and null times come last. ``layer`` is the dominance layer that
-    supplied the value, null with a null value where no record has a usable one. ``clear``: among the records that have
-    the field, the latest is also the most trusted, and no other of that time and trust holds
-    another value. ``varied``: the records do not all hold the same value (null counts
+    supplied the value, null with a null value where no record has a usable one. ``clear`` says nothing of the choice, only
+    of the case: among the records that have the field, the latest is also the most trusted, and no other of that time
+    and trust holds another value. ``varied``: the records do not all hold the same value (null counts
     as a value). Ties are settled by the greater value; repeated rows change nothing.
     """
     n = len(fields)
@@ -73,16 +78,19 @@ def survivors(df: DataFrame, group: str, fields: list[str], recency: str, rank:
         points = [(r["m"].bit_count(), r["t"], -r["r"]) for r in records]
         at = {"completeness": 0, "recency": 1, "trust": 2}
         level = layers(points)
-        order = sorted(range(len(records)), key=lambda i: (level[i], *(-points[i][at[p]] for p in policy), [x or "" for x in records[i]["v"]]))
+        rank = lambda i: (*(-points[i][at[p]] for p in policy), [x or "" for x in records[i]["v"]])
+        pick = min(range(len(records)), key=lambda i: (level[i], rank(i)))
         for k in range(n):
-            have = [i for i in order if records[i]["v"][k] is not None]
+            have = [i for i in range(len(records)) if records[i]["v"][k] is not None]
             if not have:
                 yield None, None, False
                 continue
-            front = layers([points[i][1:] for i in have])
-            tops = [i for i, depth in zip(have, front, strict=True) if not depth]
+            best = pick
+            if records[pick]["v"][k] is None:
+                below = dict(zip(have, layers([points[i] for i in have]), strict=True))
+                best = min(have, key=lambda i: (below[i], rank(i)))
+            tops = [i for i, depth in zip(have, layers([points[i][1:] for i in have]), strict=True) if not depth]
             clear = len({points[i][1:] for i in tops}) == 1 and len({records[i]["v"][k] for i in tops}) == 1 and not any(records[i]["d"][k] for i in tops)
-            best = tops[0] if clear else have[0]
             yield records[best]["v"][k], level[best], clear
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,21 +126,17 @@ def cut_off(name: str, others: list[str]) -> bool:
     return not (kind and variant) and any(k and v or k and not kind for k, v in (attributes.read(o)[:2] for o in others))
 
 
-def sound(name: str | None, other: str | None, members: list[str], brand: str, base: str | None, amount: float | None, pack: int) -> bool:
-    """Does a candidate name show the brand, the amount and the pack count of its members, whole?"""
-    if attributes.usable(name) is None or cut_off(name, [*members, *([other] if other else [])]):
-        return False
+def shown_parts(name: str | None, other: str | None, members: list[str], brand: str, base: str | None, amount: float | None, pack: int) -> list[bool]:
+    """What a candidate name shows of its members: (it is whole, brand, amount, pack count). A missing name shows nothing."""
+    if attributes.usable(name) is None:
+        return [False] * 4
     text = plain(name)
     words = set(re.findall(r"[^\W\d_]+(?:['-][^\W\d_]+)*", attributes.bare(text)))
-    if not set(brand.split()) <= words:
-        return False
     main = text.partition(" + ")[0]
-    if amount is not None:
-        stated = attributes.total(amounts_in(main))
-        if stated is None or stated[0] != base or abs(stated[1] - amount) > TOLERANCE * amount:
-            return False
+    stated = attributes.total(amounts_in(main)) if amount is not None else None
+    right = amount is None or stated is not None and stated[0] == base and abs(stated[1] - amount) <= TOLERANCE * amount
     counts = {n for n in packs_in(main) if n > 1}
-    return counts == ({pack} if pack > 1 else set())
+    return [not cut_off(name, [*members, *([other] if other else [])]), set(brand.split()) <= words, right, counts == ({pack} if pack > 1 else set())]
 
 
 def member_facts(members: DataFrame, listings: DataFrame, group: str, key: str) -> DataFrame:
@@ -152,31 +156,39 @@ def member_facts(members: DataFrame, listings: DataFrame, group: str, key: str)
     return agreed.join(named, group, "left").select(group, F.coalesce("brand_a", "named").alias("brand"), F.col("base_a").alias("base"), F.col("amount_a").alias("amount"), F.col("pack_a").alias("pack")).where("brand is not null")
 
 
+#: What a name can show of its members, besides being there.
+PARTS = ["whole", "brand", "amount", "pack"]
+
+
 def name_candidates(groups: DataFrame, facts: DataFrame, group: str, names: list[str], members: str) -> DataFrame:
-    """One record per group and candidate name: ``group, candidate, name`` with ``name`` null where it isn't sound.
+    """One record per group and candidate name: ``group, candidate, name`` and a column for each of PARTS, null where it isn't shown.
 
-    A name that isn't sound counts as missing, so completeness decides between candidates.
+    The parts count as fields, so a name that shows more of its members is a more complete record. ``name`` is null where
+    it stands for no value.
     """
     slim = groups.select(group, *names, members).join(facts, group)
-    schema = T.StructType([slim.schema[0], T.StructField("candidate", T.StringType()), T.StructField("name", T.StringType())])
+    schema = T.StructType([slim.schema[0], *[T.StructField(c, T.StringType()) for c in ("candidate", "name", *PARTS)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, which, kept = [], [], []
+            rows, out = [], []
             for i, r in enumerate(batch.to_pylist()):
                 for name in names:
                     others = [r[o] for o in names if o != name and r[o]]
-                    good = sound(r[name], others[0] if others else None, [m for m in r[members] or [] if m], r["brand"], r["base"], r["amount"], r["pack"])
+                    parts = shown_parts(r[name], others[0] if others else None, [m for m in r[members] or [] if m], r["brand"], r["base"], r["amount"], r["pack"])
                     rows.append(i)
-                    which.append(name)
-                    kept.append(r[name] if good else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(which, pa.string()), pa.array(kept, pa.string())], names=schema.names)
+                    out.append((name, r[name] if attributes.usable(r[name]) else None, *("shown" if p else None for p in parts)))
+            columns = [pa.array(c, pa.string()) for c in zip(*out, strict=True)] if out else [pa.array([], pa.string())] * (2 + len(PARTS))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), *columns], names=schema.names)
 
     return slim.mapInArrow(run, schema)
 
 
-def clear_fields(clusters: DataFrame, listings: DataFrame, sources: DataFrame, group: str = "cluster_id", key: str = "row_id") -> DataFrame:
-    """``group, field_name, field_value``: the name, brand and category of every cluster where they are beyond doubt.
+def clear_fields(clusters: DataFrame, listings: DataFrame, sources: DataFrame, group: str = "cluster_id", key: str = "row_id", policy: tuple[str, ...] = POLICY) -> DataFrame:
+    """``group, field_name, field_value``: the surviving name, brand and category of every cluster where the case is beyond doubt.
+
+    :func:`survivors` makes the choice; a case is kept if exactly one candidate name shows all it should, or if the members
+    differ and the latest usable value is also from the most trusted source.
 
     A cluster that is delivered twice counts once; members without a listing, repeated members and null members are
     passed over; a listing from an unknown source ranks behind all others. Empty clusters give no rows.
@@ -186,9 +198,12 @@ def clear_fields(clusters: DataFrame, listings: DataFrame, sources: DataFrame, g
     ranks = broadcast_if_small(sources.groupBy("source").agg(F.min("trust_rank").alias("rank")))
     own = listings.select(key, "brand", "category", "source", "crawl_timestamp").join(ranks, "source", "left")
     records = members.join(own, key).select(group, F.col("brand").alias("brand"), "category", "crawl_timestamp", "rank")
-    chosen = survivors(records, group, ["brand", "category"], "crawl_timestamp", "rank")
+    chosen = survivors(records, group, ["brand", "category"], "crawl_timestamp", "rank", policy)
     facts = member_facts(members, listings.join(members.select(key).distinct(), key, "left_semi"), group, key)
     once = clusters.select(group, "medoid_name", "llm_name", "members").distinct()
-    names = name_candidates(once, facts, group, ["medoid_name", "llm_name"], "members")
-    sorted_out = survivors(names.withColumn("at", F.lit(None).cast("timestamp")).withColumn("rank", F.lit(1)), group, ["name"], "at", "rank")
-    return chosen.union(sorted_out).where("clear and varied").select(group, "field_name", "field_value").distinct()
+    names = stored(name_candidates(once, facts, group, ["medoid_name", "llm_name"], "members"), "names")
+    named = survivors(names.withColumn("at", F.lit(None).cast("timestamp")).withColumn("rank", F.lit(1)), group, ["name", *PARTS], "at", "rank", policy).where("field_name = 'name'")
+    sound = reduce(and_, [F.col(p).isNotNull() for p in ("name", *PARTS)])
+    one = names.groupBy(group).agg(F.count_distinct(F.when(sound, F.col("candidate"))).alias("n")).where("n = 1").select(group)
+    beyond_doubt = chosen.where("clear and varied").union(named.join(one, group, "left_semi"))
+    return beyond_doubt.select(group, "field_name", "field_value").distinct()

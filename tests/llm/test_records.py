@@ -9,7 +9,7 @@ from listwright.llm import attributes
 from listwright.llm.components import connected_components, member_edges
 from listwright.llm.linkage import fit_weights, product_groups, product_pairs
 from listwright.llm.vocabulary import word_roles
-from listwright.llm.survivors import clear_fields, cut_off, layers, sound, survivors
+from listwright.llm.survivors import clear_fields, cut_off, layers, shown_parts, survivors
 
 
 def rows(df):
@@ -222,10 +222,34 @@ def test_nulls_are_filled_from_later_layers(spark):
     assert got["category"][0] == "mid"
 
 
+def test_the_policy_decides_within_a_layer(spark):
+    data = spark.createDataFrame([(1, "trusted", None, T0, 1), (1, "recent", None, T0 + DAY, 5), (1, "whole", "c", T0 - DAY, 9)], RECORD)
+    by = lambda *policy: {r.field_name: r.field_value for r in survivors(data, "g", ["brand", "category"], "at", "rank", policy).collect()}
+    assert by("trust", "recency", "completeness") == {"brand": "trusted", "category": "c"}
+    assert by("recency", "trust", "completeness") == {"brand": "recent", "category": "c"}
+    assert by("completeness", "trust", "recency") == {"brand": "whole", "category": "c"}
+
+
+def test_a_record_without_the_field_hides_none_that_has_it(spark):
+    data = spark.createDataFrame([(1, None, "r", T0 + 2 * DAY, 1), (1, "late", None, T0 + DAY, 2), (1, "whole", "m", T0, 5)], RECORD)
+    got = {r.field_name: (r.field_value, r.clear) for r in survivors(data, "g", ["brand", "category"], "at", "rank").collect()}
+    assert got == {"brand": ("late", True), "category": ("r", True)}
+
+
+def test_the_policy_changes_clear_fields(spark):
+    name = "Taihostibra Hand Wash Rose 500 ml"
+    clusters = spark.createDataFrame([(1, [1, 2], [name], f"Norvane {name}", None)], "cluster_id bigint, member_ids array<bigint>, members array<string>, medoid_name string, llm_name string")
+    listings = spark.createDataFrame([(1, name, "Norvane", None, None, None, "s1", T0 + DAY, None), (2, name, "NORVANE", None, None, None, "s2", T0, "Bath")], LISTING + ", source string, crawl_timestamp timestamp, category string")
+    sources = spark.createDataFrame([("s1", 1), ("s2", 2)], "source string, trust_rank int")
+    by = lambda *policy: {r.field_name: r.field_value for r in clear_fields(clusters, listings, sources, policy=policy).collect()}
+    assert by("trust", "recency", "completeness") == {"brand": "Norvane", "category": "Bath", "name": f"Norvane {name}"}
+    assert by("completeness", "trust", "recency") == {"brand": "NORVANE", "category": "Bath", "name": f"Norvane {name}"}
+
+
 def test_names():
     members = ["Norvane Taihostibra Hand Wash Rose 500 ml Pack of 2"]
     good = "Norvane Taihostibra Hand Wash Rose 0.5 ltr (Set of 2)"
-    ask = lambda name, **k: sound(name, None, members, "norvane", "ml", 500.0, k.get("pack", 2))
+    ask = lambda name, **k: all(shown_parts(name, None, members, "norvane", "ml", 500.0, k.get("pack", 2)))
     assert ask(good) and ask("TOP RATED* " + good.upper())
     assert not ask(good.replace("Norvane", "Kelvane"))
     assert not ask(good.replace("0.5", "0.6"))
