@@ -45,7 +45,7 @@ def transliteration_map(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     counts = pairs.join(vocabulary.select("roman").distinct(), "roman", "left_semi").groupBy("roman", "native").count()
     w = Window.partitionBy("roman").orderBy(F.desc("count"), "native")
     best = counts.withColumn("rn", F.row_number().over(w)).where("rn = 1").select("roman", "native")
-    all_ = pairs.groupBy("native").agg(F.collect_set("roman").alias("all"))
+    all_ = pairs.join(best.select("native").distinct(), "native", "left_semi").select("native", "roman").distinct().groupBy("native").agg(F.collect_set("roman").alias("all"))
     return best.join(all_, "native", "left").select("roman", "native", F.array_sort(F.array_except(F.col("all"), F.array("roman"))).alias("others"))
 
 

@@ -66,11 +66,14 @@ def json_field(reply: Column, name: str, kind: str = "string") -> Column:
 def batches_of(df: DataFrame, key: str, text: str, size: int = 10) -> DataFrame:
     """``batch, keys, texts``: rows in the order of their key, ``size`` to a batch.
 
-    Ranks come from per-bucket counts plus a window inside each bucket, so no task sorts the whole table.
+    Keys are whole numbers. Ranks come from counts per bucket of keys and per range of buckets plus windows inside each, so
+    no task sorts the whole table; what is summed in one task is a row for every 2 ** 24 keys.
     """
     bucketed = df.select(F.col(key).alias("k"), F.col(text).alias("t"), F.floor(F.col(key) / 4096).alias("b"))
-    before = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = bucketed.groupBy("b").count().withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0))).select("b", "offset")
+    counts = bucketed.groupBy("b").count().withColumn("r", F.floor(F.col("b") / 4096))
+    run = lambda w: F.coalesce(F.sum("count").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.groupBy("r").agg(F.sum("count").alias("count")).select("r", run(Window.partitionBy(F.lit(0)).orderBy("r")).alias("base"))
+    offsets = counts.select("r", "b", run(Window.partitionBy("r").orderBy("b")).alias("inner")).join(ranges, "r").select("b", (F.col("base") + F.col("inner")).alias("offset"))
     ranked = bucketed.join(offsets, "b").withColumn("n", F.row_number().over(Window.partitionBy("b").orderBy("k")) + F.col("offset") - 1)
     part = ranked.groupBy(F.floor(F.col("n") / size).alias("batch")).agg(F.array_sort(F.collect_list(F.struct("k", "t"))).alias("x"))
     return part.select("batch", F.col("x.k").alias("keys"), F.col("x.t").alias("texts"))

@@ -109,7 +109,7 @@ def categorize_centroid(spark, sf_dir):
 
 
 def token_set_ratio(spark, sf_dir):
-    df = listings(spark, sf_dir).select("row_id", "name_clean")
+    df = listings(spark, sf_dir, "name_clean")
     pairs = _pairs(spark, sf_dir, undecided=True).select("i", "j").join(df.select(F.col("row_id").alias("i"), F.col("name_clean").alias("a")), "i").join(df.select(F.col("row_id").alias("j"), F.col("name_clean").alias("b")), "j")
     return vectors.with_token_set_ratio(pairs, "a", "b").select("i", "j", "fuzzy")
 
@@ -119,7 +119,7 @@ def encoded_names(spark, sf_dir):
 
 
 def skip_gram_vectors(spark, sf_dir):
-    return vectors.skip_gram_vectors(listings(spark, sf_dir), "row_id", "name_clean", 16)
+    return vectors.skip_gram_vectors(listings(spark, sf_dir, "name_clean"), "row_id", "name_clean", 16)
 
 
 # blocking, features, scores
@@ -250,7 +250,7 @@ def density_clusters(spark, sf_dir):
 
 def _grouped(spark, sf_dir):
     got = clustering.threshold_components(_hybrid(spark, sf_dir), 0.8, listings(spark, sf_dir).select(F.col("row_id").alias("id")))
-    return listings(spark, sf_dir).select("row_id", "brand").join(got.withColumnRenamed("id", "row_id"), "row_id")
+    return listings(spark, sf_dir, "brand").join(got.withColumnRenamed("id", "row_id"), "row_id")
 
 
 def cluster_metrics(spark, sf_dir):
@@ -292,7 +292,7 @@ def category_batches(spark, sf_dir):
 
 
 def adjudicate_names(spark, sf_dir):
-    names = listings(spark, sf_dir).select("row_id", "name_clean")
+    names = listings(spark, sf_dir, "name_clean")
     zone = matching.grey_zone(_hybrid(spark, sf_dir), 0.7).select("i", "j").join(names.select(F.col("row_id").alias("i"), F.col("name_clean").alias("a")), "i").join(names.select(F.col("row_id").alias("j"), F.col("name_clean").alias("b")), "j")
     return providers.adjudicate(zone, "a", "b", lambda p: json.dumps({"same": p.count("kg") % 2 == 0, "reason": "stub"})).select("i", "j", "same")
 
@@ -312,7 +312,7 @@ def slot_values(spark, sf_dir):
 
 
 def threshold_grid(spark, sf_dir):
-    gold = listings(spark, sf_dir).where("brand is not null").select(F.col("row_id").alias("id"), F.lower(F.trim("brand")).alias("gold"))
+    gold = listings(spark, sf_dir, "brand").where("brand is not null").select(F.col("row_id").alias("id"), F.lower(F.trim("brand")).alias("gold"))
     return clustering.threshold_grid(_hybrid(spark, sf_dir), gold, [0.6, 0.8])
 
 

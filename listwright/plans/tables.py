@@ -16,11 +16,10 @@ L = "phase2_before_after"
 UNITS = "|".join(profile.UNIT_WORDS.split())
 
 
-def listings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All listings, one row per row_id: of second deliveries the first by time of ingestion."""
-    df = table(spark, sf_dir, L)
-    first = df.groupBy("row_id").agg(F.min(F.struct("ingested_at", *[c for c in df.columns if c not in ("row_id", "ingested_at")])).alias("r"))
-    return first.select("row_id", "r.*")
+def listings(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """``row_id`` and some columns of all listings, one row per row_id: of second deliveries the first by time of ingestion."""
+    first = table(spark, sf_dir, L).groupBy("row_id").agg(F.min(F.struct("ingested_at", *columns)).alias("r"))
+    return first.select("row_id", *[F.col(f"r.{c}").alias(c) for c in columns])
 
 
 ONCE = f"(SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY ingested_at) rn FROM {L}) WHERE rn = 1)"
@@ -261,12 +260,12 @@ def gazetteer_brand(spark, sf_dir):
 
 
 def extract_rules(spark, sf_dir):
-    df = listings(spark, sf_dir).where("product_name is not null")
+    df = listings(spark, sf_dir, "product_name", "brand").where("product_name is not null")
     return extract.extract_rules(df, "row_id", "product_name", extract.brand_gazetteer(df.where("brand is not null").select("brand")))
 
 
 def slot_scores(spark, sf_dir):
-    df = listings(spark, sf_dir)
+    df = listings(spark, sf_dir, "name_clean", "brand")
     pred = df.select("row_id", F.lit("brand").alias("attribute"), F.split_part(F.trim("name_clean"), F.lit(" "), F.lit(1)).alias("value")).where("value is not null")
     gold = df.where("brand is not null").select("row_id", F.lit("brand").alias("attribute"), F.array("brand").alias("values"))
     return extract.slot_scores(pred, gold, "row_id")
@@ -292,7 +291,7 @@ def transliteration(spark, sf_dir):
 
 
 def training_rows(spark, sf_dir):
-    df = listings(spark, sf_dir).where("name_clean is not null")
+    df = listings(spark, sf_dir, "name_clean").where("name_clean is not null")
     syn = synthetic_pairs(table(spark, sf_dir, "part"), "p_name")
     matched = table(spark, sf_dir, "phase5_pairs").where("label").select(F.col("i").alias("row_id"), "j").join(df.select("row_id", F.col("name_clean").alias("left")), "row_id").join(df.select(F.col("row_id").alias("j"), F.col("name_clean").alias("right")), "j").select("left", "right")
     tested = table(spark, sf_dir, "phase5_pairs").where("is_val").select(F.col("i").alias("row_id"))

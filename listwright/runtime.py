@@ -30,8 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
         return conf
     if not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("spark.checkpoint.dir must name a folder shared by all executors")
-    made = spark.sparkContext.getCheckpointDir()
-    return made or tempfile.mkdtemp(prefix="listwright-")
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="listwright-"))
+    return spark.sparkContext.getCheckpointDir()
 
 
 def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
@@ -45,11 +46,14 @@ def checkpoint(df: DataFrame, eager: bool = True) -> DataFrame:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as a parquet table in the shared folder and return a scan of it.
 
-    Unlike :func:`checkpoint` the copy is columnar and compressed, and later reads prune columns and filter.
+    Unlike :func:`checkpoint` the copy is columnar and compressed, and later reads prune columns and filter. What isn't
+    dropped before goes when the driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/stored/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
     return spark.read.schema(df.schema).parquet(path)
 
 

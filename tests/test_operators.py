@@ -346,3 +346,45 @@ def test_stored_frames_and_guarded_broadcasts(spark):
     assert broadcast_if_small(df, 0) is df
 
 
+
+
+def _unit_rows(spark, n, width=16, seed=3):
+    rng = np.random.default_rng(seed)
+    centres = rng.normal(size=(40, width))
+    x = centres[rng.integers(0, 40, n)] + 0.4 * rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    return spark.createDataFrame([(k, v.astype(np.float32).tolist(), "x") for k, v in enumerate(x)] + [(n, None, "x")], "id bigint, v array<float>, score string"), x
+
+
+def test_exact_topk_in_blocks_equals_brute_force(spark):
+    df, x = _unit_rows(spark, 300)
+    whole = {(r.query, r["rank"]): (r.id, r.score) for r in vectors.dense_topk(df, df, "id", "v", 5, self_join=True).collect()}
+    blocks = {(r.query, r["rank"]): (r.id, r.score) for r in vectors.dense_topk(df, df, "id", "v", 5, self_join=True, block=70).collect()}
+    assert whole == blocks and len(whole) == 1500
+    s = np.round(x.astype(np.float32).astype(float) @ x.astype(np.float32).astype(float).T, 6)
+    np.fill_diagonal(s, -9)
+    assert all(abs(whole[q, 1][1] - s[q].max()) < 1e-6 for q in range(300))
+    assert vectors.dense_topk(df.where("false"), df, "id", "v", 5).count() == 0 == vectors.dense_topk(df, df.where("false"), "id", "v", 5).count()
+
+
+def test_near_topk_finds_nine_in_ten_and_splits_hot_cells(spark):
+    df, _ = _unit_rows(spark, 3000)
+    df = df.union(df.where("id < 3000").limit(1).selectExpr("explode(sequence(5000, 5800)) AS id", "v", "score"))  # one vector 801 times
+    pairs = lambda got: {(r.query, r.id) for r in got.collect()}
+    queries = df.where("id % 10 = 0 and id < 3000")
+    exact = pairs(vectors.dense_topk(queries, df, "id", "v", 10, self_join=True))
+    near = pairs(vectors.near_topk(queries, df, "id", "v", 10, self_join=True, cell_rows=100, probes=8, block=64))
+    assert len(near & exact) >= 0.9 * len(exact)
+    assert vectors.near_topk(df.where("false"), df.where("false"), "id", "v", 3).count() == 0
+
+
+def test_medoids_pass_over_nulls(spark):
+    df = spark.createDataFrame([("a", 1, [1.0, 0.0]), ("a", 2, [0.8, 0.6]), ("a", 3, [0.0, 1.0]), ("b", 4, None), (None, 5, [1.0, 0.0])], "g string, k int, v array<double>")
+    assert rows(clustering.medoids(df, "g", "k", "v").select("g", "k")) == [("a", 2), (None, 5)]
+    assert clustering.medoids(df.where("false"), "g", "k", "v").count() == 0
+
+
+def test_batches_keep_the_order_of_keys(spark):
+    df = spark.createDataFrame([(k * 40_000_000, f"t{k}") for k in range(25)], "k bigint, t string")
+    got = {r.batch: r.texts for r in providers.batches_of(df, "k", "t", 10).collect()}
+    assert [x for b in sorted(got) for x in got[b]] == [f"t{k}" for k in range(25)] and len(got) == 3
