@@ -231,11 +231,14 @@ def match_text(brand: Column, clean: Column) -> Column:
     return F.trim(F.concat_ws(" ", F.lower(F.trim(brand)), clean))
 
 
+# The forms of a pack count.
+PACK_FORMS = [r"\b(?:pack|set|combo|box|case|pk) of ([0-9]{1,4})\b", r"\b([0-9]{1,3}) ?[x*] ", rf"\b([0-9]{{1,4}}) ?(?:{_COUNT.replace(' ', '|')})\b", r"\b([0-9]{1,4}) ?(?:per|/) ?(?:box|carton|pack|case|bag)\b"]
+
+
 def pack_count(text: Column) -> Column:
-    """The leftmost pack count of a text in ASCII: *pack of N*, *N x*, *N pieces*, *N per box*; null without one."""
-    low = F.lower(text)
-    forms = [r"\b(?:pack|set|combo|box|case|pk) of ([0-9]{1,4})\b", r"\b([0-9]{1,3}) ?[x*] ", rf"\b([0-9]{{1,4}}) ?(?:{_COUNT.replace(' ', '|')})\b", r"\b([0-9]{1,4}) ?(?:per|/) ?(?:box|carton|pack|case|bag)\b"]
-    found = [F.when(F.regexp_instr(low, F.lit(p)) > 0, F.struct(F.regexp_instr(low, F.lit(p)).alias("at"), F.regexp_extract(low, p, 1).cast("int").alias("n"))) for p in forms]
+    """The leftmost pack count of a text in ASCII: *pack of N*, *N x*, *N pieces*, *N per box*; null without one. Other characters part words."""
+    low = F.regexp_replace(F.lower(text), "[^ -~]", "~")
+    found = [F.when(F.regexp_instr(low, F.lit(p)) > 0, F.struct(F.regexp_instr(low, F.lit(p)).alias("at"), F.regexp_extract(low, p, 1).cast("int").alias("n"))) for p in PACK_FORMS]
     good = F.filter(F.array(*found), lambda x: x.isNotNull() & (x["n"] > 0))
     return F.array_min(good)["n"]
 
@@ -247,6 +250,14 @@ def first_quantity(text: Column) -> tuple[Column, Column]:
     return F.nullif(F.regexp_extract(low, pattern, 1), F.lit("")).try_cast("double"), F.nullif(F.regexp_extract(low, pattern, 2), F.lit(""))
 
 
+def all_quantities(text: Column) -> Column:
+    """Every mass, volume or length of an ASCII text in order, as ``array<struct<value, unit>>`` with the unit as it is spelled; ``[]`` without one."""
+    low = F.lower(text)
+    pattern = rf"(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)\s*(?:{_UNITS})(?![a-z0-9])"
+    found = F.coalesce(F.regexp_extract_all(low, F.lit(pattern), 0), F.array().cast("array<string>"))
+    return F.transform(found, lambda q: F.struct(F.regexp_extract(q, r"^([0-9.]+)", 1).cast("double").alias("value"), F.regexp_extract(q, r"([a-z]+(?:\.[a-z]+)?|100[a-z]+)$", 1).alias("unit")))
+
+
 def norm_value(attribute: str, value: Column) -> Column:
     """A slot value in comparable form: counts as their number, quantities in canonical units, other values in lower case with single blanks."""
     low = F.regexp_replace(F.lower(F.trim(value)), r"\s+", " ")

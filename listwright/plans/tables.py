@@ -142,9 +142,8 @@ def pick_names(spark, sf_dir):
 
 
 def find_quantities(spark, sf_dir):
-    value, unit = T.first_quantity(F.col("name_clean"))
-    read = table(spark, sf_dir, L).select("row_id", value.alias("value"), unit.alias("spelling")).where("value is not null").distinct()
-    return read.groupBy("spelling").agg(F.count("*").alias("n"), F.round(F.sum("value"), 3).alias("total"))
+    read = table(spark, sf_dir, L).select("row_id", "name_clean").distinct().select("row_id", F.posexplode(T.all_quantities(F.col("name_clean"))).alias("place", "q"))
+    return read.select("row_id", "place", F.col("q.value").alias("value"), F.col("q.unit").alias("spelling")).distinct()
 
 
 _SPELL = T._UNITS
@@ -162,7 +161,7 @@ def parse_number(spark, sf_dir):
 
 
 def pack_counts(spark, sf_dir):
-    return table(spark, sf_dir, L).select("row_id", F.regexp_extract(F.lower("name_clean"), r"\b(pack|set|combo|box) of ([0-9]{1,4})\b", 2).try_cast("int").alias("pack")).distinct().groupBy("pack").agg(F.count("*").alias("n"))
+    return table(spark, sf_dir, L).select("row_id", T.pack_count(F.col("name_clean")).alias("pack")).distinct()
 
 
 def model_codes(spark, sf_dir):
@@ -352,9 +351,11 @@ round(100 * avg(CASE WHEN regexp_matches(lower(p_name), '[0-9]\\s*({UNITS})\\b')
     "canonical_tables": "SELECT 'part' AS source, count(*) AS n, count(p_name) AS names, count(p_brand) AS brands, 0 AS ids FROM part UNION ALL SELECT 'supplier', count(*), count(s_name), 0, count(s_suppkey) FROM supplier",
     "mapping_accuracy": f"WITH h AS (SELECT header, {_TOKENS_SQL} AS t FROM (VALUES {_HEADERS_SQL}) v(header)), p AS (SELECT header, CASE {_RULE_SQL} ELSE 'other' END AS predicted FROM h) SELECT count(*) AS n, round(avg(CASE WHEN predicted = field THEN 1 ELSE 0 END), 3) AS accuracy FROM p JOIN (VALUES ('sale_price', 'price'), ('brand', 'brand'), ('title', 'product_name'), ('pid', 'other'), ('index', 'other'), ('uniq_id', 'id')) g(header, field) USING (header)",
     "pick_names": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'le ' || n_name END AS name FROM nation",
-    "find_quantities": f"SELECT spelling, count(*) AS n, round(sum(v), 3) AS total FROM (SELECT DISTINCT row_id, try_cast(regexp_extract(lower(name_clean), '([0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)\\s*({_SPELL})(?:[^a-z0-9]|$)', 1) AS DOUBLE) AS v, regexp_extract(lower(name_clean), '([0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)\\s*({_SPELL})(?:[^a-z0-9]|$)', 2) AS spelling FROM {L}) WHERE v IS NOT NULL GROUP BY spelling",
+    "find_quantities": f"""WITH d AS (SELECT DISTINCT row_id, name_clean FROM {L}), q AS (SELECT row_id, unnest(m) AS q, generate_subscripts(m, 1) - 1 AS place FROM (SELECT row_id, regexp_extract_all(lower(name_clean) || ' ', '((?:[0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)\\s*(?:{_SPELL}))[^a-z0-9]', 1) AS m FROM d))
+SELECT DISTINCT row_id, place, regexp_extract(q, '^([0-9.]+)', 1)::DOUBLE AS value, regexp_extract(q, '([a-z]+(?:\\.[a-z]+)?|100[a-z]+)$', 1) AS spelling FROM q""",
     "parse_number": "SELECT * FROM (VALUES ('3-1/2', 3.5), ('8 1/2', 8.5), ('4/5', 0.8), ('1,000', 1000.0), ('.5', 0.5), ('7/0', NULL), ('x', NULL)) v(t, value)",
-    "pack_counts": f"SELECT pack, count(*) AS n FROM (SELECT DISTINCT row_id, CASE WHEN name_clean IS NOT NULL THEN try_cast(regexp_extract(lower(name_clean), '\\b(pack|set|combo|box) of ([0-9]{{1,4}})\\b', 2) AS INT) END AS pack FROM {L}) GROUP BY pack",
+    "pack_counts": f"""WITH d AS (SELECT DISTINCT row_id, lower(name_clean) AS t FROM {L}), f AS (SELECT row_id, t, p, regexp_extract(t, p, 0) AS whole, try_cast(regexp_extract(t, p, 1) AS INT) AS n FROM d, (VALUES {", ".join(f"('{p}')" for p in T.PACK_FORMS)}) v(p)),
+b AS (SELECT row_id, t, arg_min(n, strpos(t, whole)) FILTER (whole <> '' AND n > 0) AS pack FROM f GROUP BY row_id, t) SELECT DISTINCT row_id, pack FROM b""",
     "model_codes": "SELECT p_partkey, 'pslx' || p_partkey || 'h' AS codes FROM part",
     "expand_abbreviations": f"SELECT DISTINCT row_id, array_to_string(list_transform(string_split(name_clean, ' '), lambda t: CASE t {' '.join(f'WHEN {chr(39)}{a}{chr(39)} THEN {chr(39)}{b}{chr(39)}' for a, b in T.pairs_of(T.ABBREVIATIONS))} ELSE t END), ' ') AS expanded FROM {L} WHERE name_clean IS NOT NULL",
     "hinglish_names": f"SELECT DISTINCT row_id, h AS hinglish FROM (SELECT row_id, lower(name_clean) AS n, {_hinglish_sql()} AS h FROM {L}) WHERE h <> n",

@@ -46,9 +46,10 @@ def read_food_parquet(spark: SparkSession, path: str) -> DataFrame:
     return df.withColumn("product_name", pick_name(F.col("product_name"))) if kind.startswith("array") else df
 
 
-def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """A tab-separated file without quoting; malformed lines are dropped."""
-    return spark.read.option("header", True).option("sep", "\t").option("quote", "").option("mode", "DROPMALFORMED").csv(path)
+def read_tsv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """A tab-separated file without quoting; malformed lines are dropped. With a schema files have no header."""
+    read = spark.read.option("sep", "\t").option("quote", "").option("mode", "DROPMALFORMED")
+    return read.schema(schema).csv(path) if schema else read.option("header", True).csv(path)
 
 
 def read_benchmark(spark: SparkSession, left: str, right: str, gold: str, encoding: str = "ISO-8859-1") -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -63,6 +64,30 @@ def read_json_lines(spark: SparkSession, path: str, schema: str | None = None) -
     return (spark.read.schema(schema) if schema else spark.read).json(path)
 
 
+def offer_file(prefix: str, corner_cases: int, split: str, size: str, unseen: int) -> str:
+    """The name of one file of an offer benchmark; ``corner_cases`` and ``unseen`` are percentages, the test split has no size."""
+    stem = f"{prefix}{corner_cases}cc{100 - corner_cases}rnd{unseen:03d}un_{split}"
+    return stem if split == "gs" else f"{stem}_{size}"
+
+
+def read_offers(spark: SparkSession, folder: str, schema: str | None = None, kind: str = "pair", corner_cases: int = 80, split: str = "gs", size: str = "large", unseen: int = 0, prefixes: dict[str, str] | None = None) -> DataFrame:
+    """Gzipped JSON lines of an offer benchmark, chosen by kind (pair or multi), corner cases, split (train, valid or gs),
+    size and share of unseen products. ``prefixes`` are the file names of the kinds, ``offers`` and ``offersmulti`` unless
+    given. FileNotFoundError without such a file.
+    """
+    prefix = (prefixes or {"pair": "offers", "multi": "offersmulti"})[kind]
+    files = _exists(spark, f"{folder}/{offer_file(prefix, corner_cases, split, size, unseen)}.json*")
+    if not files:
+        raise FileNotFoundError(f"no such choice of offers in {folder}")
+    return (spark.read.schema(schema) if schema else spark.read).json(files)
+
+
+def read_word_pairs(spark: SparkSession, path: str) -> DataFrame:
+    """``native, roman`` of JSON lines with a word in its own script and in Latin letters; incomplete lines are dropped."""
+    lines = read_json_lines(spark, path, "`native word` string, `english word` string")
+    return lines.select(F.col("native word").alias("native"), F.col("english word").alias("roman")).where("native is not null and roman is not null")
+
+
 def read_attribute_gold(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines with nested gold attribute values."""
     return read_json_lines(spark, path, f"id string, category string, input_title string, target_scores {TARGET_SCORES}")
@@ -99,4 +124,5 @@ def write_table(df: DataFrame, path: str, kind: str = "parquet", partitions: lis
     """Parquet, CSV with a header, or JSON lines."""
     out = df.write.mode("overwrite")
     out = out.partitionBy(*partitions) if partitions else out
-    {"parquet": out.parquet, "json": out.json, "csv": out.option("header", True).csv}[kind](path)
+    exact = out.option("header", True).option("escape", '"').option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+    {"parquet": out.parquet, "json": out.json, "csv": exact.csv}[kind](path)
