@@ -60,7 +60,7 @@ def column_profile(spark, sf_dir):
 
 
 def select_columns(spark, sf_dir):
-    return profile.select_columns(profile.column_profiles(table(spark, sf_dir, L), ["source", "product_name", "brand", "category", "quantity", "description"]))
+    return profile.select_columns(profile.column_profiles(table(spark, sf_dir, L), SELECTED))
 
 
 _PROFILE_SQL = " UNION ALL ".join(
@@ -70,6 +70,19 @@ round(entropy(v), 3) AS entropy, round(avg(CASE WHEN regexp_matches(v, 'https?:/
     for k, c in enumerate(PROFILED)
 )
 
+SELECTED = ["source", "product_name", "brand", "category", "quantity", "description"]
+_SELECT_SQL = """WITH p AS ({}), r AS (SELECT "column", ordinal, avg_tokens, concat_ws('; ', CASE WHEN non_null < {non_null} THEN 'mostly empty' END, CASE WHEN coalesce(avg_tokens, 0) < {avg_tokens} THEN 'too short' END,
+CASE WHEN coalesce(unique_ratio, 0) < {unique_ratio} THEN 'too repetitive' END, CASE WHEN coalesce(alpha_ratio, 0) < {alpha_ratio} THEN 'too few letters' END, CASE WHEN url_ratio > {url_ratio} THEN 'links' END) AS reason FROM p),
+s AS (SELECT "column", reason = '' AS selected, CASE WHEN reason = '' THEN 'free text' ELSE reason END AS reason, CASE WHEN reason <> '' THEN 'none' WHEN ordinal = (SELECT arg_min(ordinal, (avg_tokens, ordinal)) FROM r WHERE reason = '') THEN 'primary' ELSE 'secondary' END AS role FROM r)""".format(
+    " UNION ALL ".join(
+        f"""SELECT {k} AS ordinal, '{c}' AS "column", round(count(v)::DOUBLE / count(*), 3) AS non_null, round(avg(len(string_split_regex(trim(v), '\\s+'))), 2) AS avg_tokens,
+round(count(DISTINCT v)::DOUBLE / count(v), 3) AS unique_ratio, round(sum(length(regexp_replace(v, '[^A-Za-zÀ-ɏ]', '', 'g')))::DOUBLE / sum(length(regexp_replace(v, '\\s', '', 'g'))), 3) AS alpha_ratio,
+round(avg(CASE WHEN regexp_matches(v, 'https?://|www[.]') THEN 1 WHEN v IS NOT NULL THEN 0 END), 3) AS url_ratio FROM (SELECT {c}::VARCHAR AS v FROM {L})"""
+        for k, c in enumerate(SELECTED)
+    ),
+    **profile.LIMITS,
+)
+
 # mapping
 
 HEADERS = "sale_price brand manufacturer product_category_tree sub_category product_url crawl_timestamp uniq_id title overall_rating quantity pid index market_price isFKAdvantageProduct".split()
@@ -102,7 +115,7 @@ def to_number(spark, sf_dir):
 
 def category_levels(spark, sf_dir):
     top, below = mapping.category_levels(F.col("category"))
-    return table(spark, sf_dir, L).where(F.col("category").contains(">>")).select("row_id", top.alias("top"), below.alias("below")).distinct()
+    return table(spark, sf_dir, L).select("row_id", top.alias("top"), below.alias("below")).distinct()
 
 
 def price_conflict(spark, sf_dir):
@@ -209,7 +222,7 @@ def attribute_spans(spark, sf_dir):
 
 
 def synthetic(spark, sf_dir):
-    return synthetic_pairs(table(spark, sf_dir, "part"), "p_name").where("kind in ('brief', 'negative')").select("original", "variant", "label")
+    return synthetic_pairs(table(spark, sf_dir, L), "name_clean")
 
 
 # spelling
@@ -236,7 +249,7 @@ def corrected_names(spark, sf_dir):
 
 def spelling_quality(spark, sf_dir):
     counts = profile.token_counts(table(spark, sf_dir, L), "name_clean")
-    originals = counts.where("count >= 50 and token rlike '^[a-z]{6,}$'").select(F.col("token").alias("original"), T.add_typo(F.col("token")).alias("token")).where("original <> token")
+    originals = counts.where("count >= 3 and token rlike '^[a-z]{5,}$'").select(F.col("token").alias("original"), T.add_typo(F.col("token")).alias("token")).where("original <> token")
     return spelling.spelling_quality(originals, spelling.corrections(originals.select("token"), counts))
 
 
@@ -253,9 +266,9 @@ def gazetteer(spark, sf_dir):
 
 
 def gazetteer_brand(spark, sf_dir):
-    df, names = table(spark, sf_dir, L), table(spark, sf_dir, L).where("brand is not null").select("brand")
-    g = extract.brand_gazetteer(names.where(F.length(F.trim("brand")) > 3)).where(~F.col("phrase").contains(" ") & F.col("phrase").rlike("^[a-z]+$"))
-    return extract.phrase_matches(df.select("row_id", F.coalesce("name_clean", F.lit("")).alias("n")).distinct(), "row_id", "n", g, 1).select("row_id", F.lower("value").alias("value"))
+    g = extract.brand_gazetteer(table(spark, sf_dir, L).where("brand is not null").select("brand"))
+    names = table(spark, sf_dir, L).select("row_id", "name_clean").distinct().groupBy("row_id").agg(F.max(F.coalesce("name_clean", F.lit(""))).alias("n"))
+    return extract.phrase_matches(names, "row_id", "n", g).select("row_id", "value", "start", "size")
 
 
 def extract_rules(spark, sf_dir):
@@ -312,21 +325,34 @@ QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
 _UNIT_ROWS = ", ".join(f"('{u}', '{b}', {float(f)!r})" for u, (b, f, _) in compositions().items())
 _SHORT = " ".join("WHEN '{}' THEN '{}'".format(*p.split("=")) for p in SHORT.split())
+_SPELLED = "o"  # letters whose capital is two letters
+for _small, _large in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ß", "ss")):
+    _SPELLED = f"replace({_SPELLED}, '{_small}', '{_large}')"
+_HEX = lambda k: f"('0x' || substr(md5('42|' || t), {k}, 4))::BIGINT"
+_AT = f"({_HEX(1)} % (length(t) - 1) + 1)"
+_TYPO = f"""(CASE {_HEX(9)} % 4 WHEN 0 THEN substr(t, 1, {_AT} - 1) || substr(t, {_AT} + 1) WHEN 1 THEN substr(t, 1, {_AT}) || substr(t, {_AT}) WHEN 2 THEN substr(t, 1, {_AT} - 1) || substr(t, {_AT} + 1, 1) || substr(t, {_AT}, 1) || substr(t, {_AT} + 2)
+ELSE substr(t, 1, {_AT} - 1) || substr('abcdefghijklmnopqrstuvwxyz', {_HEX(5)} % 26 + 1, 1) || substr(t, {_AT} + 1) END)"""
 _LEMMA = """CASE WHEN t IN ('gas', 'bus', 'plus', 'glass', 'lens', 'oats', 'jeans', 'series', 'molasses', 'hummus', 'asparagus') THEN t WHEN regexp_full_match(t, '[a-z]+(ss|us|is)') THEN t
 WHEN regexp_full_match(t, '[a-z]{2,}ies') THEN regexp_replace(t, 'ies$', 'y') WHEN regexp_full_match(t, '[a-z]+(ch|sh|x|z)es') THEN regexp_replace(t, 'es$', '') WHEN regexp_full_match(t, '[a-z]{2,}oes') THEN regexp_replace(t, 'es$', '')
 WHEN regexp_full_match(t, '[a-z]{3,}s') THEN regexp_replace(t, 's$', '') ELSE t END"""
 
 ORACLES = {
     "parse_quantity": f"WITH q AS (SELECT DISTINCT row_id, try_cast(regexp_extract(lower(name_clean), '([0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)\\s*({_SPELL})(?:[^a-z0-9]|$)', 1) AS DOUBLE) AS v, regexp_extract(lower(name_clean), '([0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)\\s*({_SPELL})(?:[^a-z0-9]|$)', 2) AS u FROM {L}) SELECT row_id, base_unit, round(v * factor, 3) AS amount FROM q JOIN (VALUES {_UNIT_ROWS}) t(u, base_unit, factor) USING (u) WHERE v IS NOT NULL",
-    "synthetic": f"""WITH n AS (SELECT DISTINCT p_name AS o FROM part) SELECT o AS original, array_to_string(list_transform(string_split(lower(o), ' '), lambda t: CASE t {_SHORT} ELSE t END), ' ') AS variant, true AS label FROM n
-UNION ALL SELECT o, o || ' ' || ['Lite', 'Plus', 'Max', 'Gold', 'Mini'][('0x' || substr(md5('42|' || o), 1, 8))::BIGINT % 5 + 1], false FROM n""",
+    "synthetic": f"""WITH n AS (SELECT DISTINCT name_clean AS o FROM {L} WHERE length(trim(name_clean)) > 0), t AS (SELECT o, string_split(o, ' ') AS w, ('0x' || substr(md5('42|' || o), 1, 8))::BIGINT AS h, try_cast(regexp_extract(o, '([0-9]+)', 1) AS BIGINT) AS number, regexp_extract(o, '([0-9]+)', 1) AS digits FROM n)
+SELECT o AS original, array_to_string(list_transform(w, lambda t: CASE WHEN length(t) > 4 AND ('0x' || substr(md5('t42|' || t), 1, 4))::BIGINT % 10 < 3 THEN {_TYPO} ELSE t END), ' ') AS variant, 'typos' AS kind, true AS label FROM t
+UNION ALL SELECT o, array_to_string(list_transform(string_split(lower(o), ' '), lambda t: CASE t {_SHORT} ELSE t END), ' '), 'brief', true FROM t
+UNION ALL SELECT o, CASE WHEN h % 2 = 0 THEN array_to_string(w[2:] || w[1:1], ' ') ELSE upper({_SPELLED}) END, 'turned', true FROM t
+UNION ALL SELECT o, CASE WHEN number IS NOT NULL THEN regexp_replace(o, '^([^0-9]*)' || digits, '\\1' || (2 * number)) ELSE o || ' ' || ['Lite', 'Plus', 'Max', 'Gold', 'Mini'][h % 5 + 1] END, 'negative', false FROM t""",
     "lemmatized": f"SELECT p_partkey, array_to_string(list_transform(string_split(p_name, ' '), lambda t: {_LEMMA}), ' ') AS lemmas FROM part",
     "spell_correct": f"""WITH c AS (SELECT * FROM {_COUNTS_SQL} WHERE regexp_full_match(token, '[a-z]+')), m AS (SELECT a.token, d.token AS word, d.n, damerau_levenshtein(a.token, d.token) AS distance, length(a.token) AS size
 FROM c a JOIN c d ON a.n < 3 AND d.n >= 3 AND d.n >= 10 * a.n AND length(a.token) >= 5 AND length(d.token) >= 3 AND abs(length(a.token) - length(d.token)) <= 2)
 SELECT token, word, distance FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, n DESC, word) AS rn FROM m WHERE distance <= CASE WHEN size < 8 THEN 1 ELSE 2 END) WHERE rn = 1""",
-    "gazetteer_brand": f"""WITH g AS (SELECT DISTINCT array_to_string(list_filter(string_split_regex(lower(trim(brand)), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> ''), ' ') AS p, lower(trim(brand)) AS b FROM {L} WHERE length(trim(brand)) > 3),
-k AS (SELECT DISTINCT p FROM g WHERE regexp_full_match(p, '[a-z]+') AND NOT list_contains(string_split('{extract.COLOURS} {extract.CUTS}', ' '), p)), n AS (SELECT DISTINCT row_id, list_filter(string_split_regex(lower(coalesce(name_clean, '')), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> '') AS w FROM {L}),
-t AS (SELECT row_id, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM n) SELECT row_id, arg_min(w, i) AS value FROM t WHERE w IN (SELECT p FROM k) GROUP BY row_id""",
+    "gazetteer_brand": f"""WITH g AS (SELECT trim(brand) AS brand, array_to_string(list_filter(string_split_regex(lower(trim(brand)), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> ''), ' ') AS p FROM {L} WHERE length(trim(brand)) >= 2),
+k AS (SELECT p, min(brand) AS value FROM g WHERE p <> '' AND NOT list_contains(string_split('{extract.COLOURS} {extract.CUTS}', ' '), p) GROUP BY p), n AS (SELECT row_id, list_filter(string_split_regex(lower(max(coalesce(name_clean, ''))), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> '') AS w FROM {L} GROUP BY row_id),
+t AS (SELECT row_id, unnest(flatten(list_transform([1, 2, 3, 4], lambda n: list_transform(range(1, len(w) - n + 2), lambda i: {{'n': -n, 'start': i, 'p': array_to_string(w[i:i + n - 1], ' ')}})))) AS h FROM n),
+h AS (SELECT row_id, list({{'n': h.n, 'start': h.start, 'value': k.value}} ORDER BY h.n, h.start, k.value) AS hs FROM t JOIN k ON k.p = h.p GROUP BY row_id),
+r AS (SELECT row_id, list_reduce(list_transform(hs, lambda x: [x]), lambda a, x: CASE WHEN len(list_filter(a, lambda o: x[1].start < o.start - o.n AND o.start < x[1].start - x[1].n)) = 0 THEN a || x ELSE a END) AS kept FROM h),
+f AS (SELECT row_id, list_sort(list_transform(kept, lambda x: {{'start': x.start, 'size': -x.n, 'value': x.value}}))[1] AS f FROM r) SELECT row_id, f.value AS value, f.start AS start, f.size AS size FROM f""",
     "attribute_spans": f"SELECT DISTINCT row_id, strpos(lower(product_name), lower(v)) - 1 AS start, strpos(lower(product_name), lower(v)) - 1 + length(v) AS \"end\", label FROM (SELECT row_id, product_name, brand AS v, 'brand' AS label FROM {L} UNION ALL SELECT row_id, product_name, source, 'source' FROM {L}) WHERE length(v) > 0 AND strpos(lower(product_name), lower(v)) > 0",
     "slot_scores": f"""WITH d AS (SELECT row_id, nullif(split_part(trim(name_clean), ' ', 1), NULL) AS v, brand AS g FROM {ONCE}), c AS (SELECT count(*) FILTER (coalesce(lower(trim(v)) = lower(trim(g)), false)) AS tp, count(*) FILTER (v IS NOT NULL AND NOT coalesce(lower(trim(v)) = lower(trim(g)), false)) AS fp, count(*) FILTER (g IS NOT NULL AND NOT coalesce(lower(trim(v)) = lower(trim(g)), false)) AS fn FROM d),
 r AS (SELECT tp, fp, fn, round(tp / (tp + fp), 3) AS precision, round(tp / (tp + fn), 3) AS recall, round(2.0 * tp / (2 * tp + fp + fn), 3) AS f1 FROM c) SELECT 'brand' AS attribute, * FROM r UNION ALL SELECT 'MACRO', * FROM r""",
@@ -342,15 +368,23 @@ round(100 * avg(CASE WHEN regexp_matches(lower(p_name), '[0-9]\\s*({UNITS})\\b')
     "column_entropy": f"SELECT round(entropy(source), 4) AS entropy FROM {L}",
     "column_profile": _PROFILE_SQL,
     "map_headers_rules": f"WITH h AS (SELECT header, {_TOKENS_SQL} AS t FROM (VALUES {_HEADERS_SQL}) v(header)) SELECT header, CASE {_RULE_SQL} ELSE 'other' END AS predicted, 'rules' AS decided_by FROM h",
+    "select_columns": f'{_SELECT_SQL} SELECT "column", selected, reason, role FROM s',
+    "selection_quality": f"""{_SELECT_SQL}, c AS (SELECT count(*) FILTER (selected AND wanted) AS tp, count(*) FILTER (selected AND NOT wanted) AS fp, count(*) FILTER (NOT selected AND wanted) AS fn FROM s JOIN (VALUES ('product_name', true), ('description', true), ('brand', false), ('source', false)) g(c, wanted) ON c = s."column")
+SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 3) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 3) AS recall, round(coalesce(2.0 * tp / nullif(2 * tp + fp + fn, 0), 0.0), 3) AS f1 FROM c""",
     "header_tokens": f"WITH h AS (SELECT header, {_TOKENS_SQL} AS t FROM (VALUES {_HEADERS_SQL}) v(header)) SELECT header, array_to_string(t, ' ') AS tokens, CASE {_RULE_SQL} END IS NOT NULL AS hit FROM h",
     "sample_values": f"SELECT substr(v, 1, 60) AS value FROM (SELECT DISTINCT trim(brand) AS v FROM {L} WHERE trim(brand) <> '') ORDER BY md5('42|' || v), v LIMIT 5",
     "to_number": f"SELECT DISTINCT row_id, try_cast(regexp_extract(replace(quantity, ',', ''), '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE) AS number FROM {L}",
-    "category_levels": f"""SELECT DISTINCT row_id, nullif(trim(p[1]), '') AS top, nullif(trim(p[2]), '') AS below FROM (SELECT row_id, string_split_regex(regexp_replace(category, '^[\\[" ]+|[\\]" ]+$', '', 'g'), '\\s*>>\\s*') AS p FROM {L} WHERE category LIKE '%>>%')""",
+    "category_levels": f"""SELECT DISTINCT row_id, nullif(trim(p[1]), '') AS top, nullif(trim(p[2]), '') AS below FROM (SELECT row_id, string_split_regex(regexp_replace(category, '^[\\[" ]+|[\\]" ]+$', '', 'g'), '\\s*>>\\s*') AS p FROM {L})""",
     "price_conflict": f"SELECT header, field FROM (SELECT median(price) AS a, median(mrp) AS b FROM {L}), (VALUES ('sale_price'), ('selling_cost')) v(header), LATERAL (SELECT CASE WHEN (header = 'sale_price') = (a > b) THEN 'mrp' ELSE 'price' END AS field)",
     "canonical_part": "SELECT 'part' AS source, p_name AS product_name, p_brand AS brand, 'Goods' AS category, p_type AS sub_category, NULL::DOUBLE AS price, p_retailprice AS mrp, NULL::VARCHAR AS quantity, NULL::VARCHAR AS description, NULL::DOUBLE AS rating, p_partkey::VARCHAR AS id FROM part",
     "canonical_tables": "SELECT 'part' AS source, count(*) AS n, count(p_name) AS names, count(p_brand) AS brands, 0 AS ids FROM part UNION ALL SELECT 'supplier', count(*), count(s_name), 0, count(s_suppkey) FROM supplier",
     "mapping_accuracy": f"WITH h AS (SELECT header, {_TOKENS_SQL} AS t FROM (VALUES {_HEADERS_SQL}) v(header)), p AS (SELECT header, CASE {_RULE_SQL} ELSE 'other' END AS predicted FROM h) SELECT count(*) AS n, round(avg(CASE WHEN predicted = field THEN 1 ELSE 0 END), 3) AS accuracy FROM p JOIN (VALUES ('sale_price', 'price'), ('brand', 'brand'), ('title', 'product_name'), ('pid', 'other'), ('index', 'other'), ('uniq_id', 'id')) g(header, field) USING (header)",
     "pick_names": "SELECT n_nationkey, CASE WHEN n_nationkey % 2 = 0 THEN n_name ELSE 'le ' || n_name END AS name FROM nation",
+    "spelling_quality": f"""WITH c AS (SELECT * FROM {_COUNTS_SQL} WHERE regexp_full_match(token, '[a-z]+')), o AS (SELECT DISTINCT t AS original, {_TYPO} AS token FROM (SELECT token AS t FROM c WHERE n >= 3 AND length(token) >= 5)),
+q AS (SELECT * FROM o WHERE token <> original), a AS (SELECT DISTINCT q.token, coalesce(c.n, 0) AS own FROM q LEFT JOIN c USING (token) WHERE length(q.token) >= 5 AND coalesce(c.n, 0) < 3),
+m AS (SELECT a.token, d.token AS word, d.n, damerau_levenshtein(a.token, d.token) AS distance FROM a JOIN c d ON d.n >= 3 AND d.n >= 10 * greatest(a.own, 1) AND length(d.token) >= 3 AND abs(length(a.token) - length(d.token)) <= 2),
+f AS (SELECT token, word FROM (SELECT *, row_number() OVER (PARTITION BY token ORDER BY distance, n DESC, word) AS rn FROM m WHERE distance <= CASE WHEN length(token) < 8 THEN 1 ELSE 2 END) WHERE rn = 1)
+SELECT count(*) AS n, round(avg(CASE WHEN coalesce(word = original, false) THEN 1 ELSE 0 END), 4) AS restored, round(avg(CASE WHEN coalesce(word <> original, false) THEN 1 ELSE 0 END), 4) AS wrong FROM q LEFT JOIN f USING (token)""",
     "find_quantities": f"""WITH d AS (SELECT DISTINCT row_id, name_clean FROM {L}), q AS (SELECT row_id, unnest(m) AS q, generate_subscripts(m, 1) - 1 AS place FROM (SELECT row_id, regexp_extract_all(lower(name_clean) || ' ', '((?:[0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)\\s*(?:{_SPELL}))[^a-z0-9]', 1) AS m FROM d))
 SELECT DISTINCT row_id, place, regexp_extract(q, '^([0-9.]+)', 1)::DOUBLE AS value, regexp_extract(q, '([a-z]+(?:\\.[a-z]+)?|100[a-z]+)$', 1) AS spelling FROM q""",
     "parse_number": "SELECT * FROM (VALUES ('3-1/2', 3.5), ('8 1/2', 8.5), ('4/5', 0.8), ('1,000', 1000.0), ('.5', 0.5), ('7/0', NULL), ('x', NULL)) v(t, value)",
