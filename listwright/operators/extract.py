@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listwright.functions.text import first_quantity, model_codes, pack_count
 from listwright.operators.mapping import prf_columns
+from listwright.operators.units import conversion_table
 from listwright.runtime import broadcast_if_small
 
 # Colours and cuts that are never brands.
@@ -88,6 +90,50 @@ def extract_model(df: DataFrame, key: str, text: str, model: Callable[[list[str]
     return df.select(key, text).mapInArrow(run, schema)
 
 
+def best_spans(spans: DataFrame, key: str, threshold: float = 0.4) -> DataFrame:
+    """``key, label, value, score``: of a model's ``(key, label, value, start, score)`` the best span per label at or above a
+    threshold, ties to the first.
+    """
+    good = spans.where((F.col("score") >= threshold) & F.col("value").isNotNull())
+    best = good.groupBy(key, "label").agg(F.min(F.struct((-F.col("score")).alias("s"), "start", "value")).alias("b"))
+    return best.select(key, "label", F.col("b.value").alias("value"), (-F.col("b.s")).alias("score"))
+
+
+#: Fields of the typed record that a provider reads from a name.
+RECORD = "brand string, product_type string, variant string, quantity string, pack_count int, colour string"
+
+
+def extract_record(df: DataFrame, key: str, text: str, provider: Callable[[str], str], examples: tuple[tuple[str, str], ...] = (), **how) -> DataFrame:
+    """``key`` and the fields of RECORD, read by a provider after a few ``(name, JSON)`` examples; all null where no valid reply came.
+
+    A reply is valid if it is an object with no other fields, texts where texts are due and a positive whole pack count.
+    """
+    from listwright.operators.providers import ask
+
+    names = [f.split()[0] for f in RECORD.split(", ")]
+    shown = "".join(f"Name: {n}\nRecord: {r}\n" for n, r in examples)
+
+    def valid(reply: dict) -> bool:
+        pack = reply.get("pack_count")
+        texts = all(reply.get(n) is None or isinstance(reply[n], str) for n in names if n != "pack_count")
+        return set(reply) <= set(names) and texts and (pack is None or isinstance(pack, int) and not isinstance(pack, bool) and pack > 0)
+
+    met, _ = ask(df.select(key, F.concat(F.lit(shown + "Name: "), F.col(text), F.lit("\nRecord:")).alias("prompt")), "prompt", provider, valid, **how)
+    return met.select(key, F.from_json("response", RECORD).alias("r")).select(key, *[F.col(f"r.{n}").alias(n) for n in names])
+
+
+def attribute_record(df: DataFrame, key: str, text: str, brand: str, gazetteer: DataFrame) -> DataFrame:
+    """``key, brand, base_unit, amount, pack_count, codes``: the recorded brand in lower case, else the gazetteer's, with
+    the first quantity in its canonical unit, the pack count and the model codes of the text.
+    """
+    value, unit = first_quantity(F.col(text))
+    units = broadcast_if_small(conversion_table(df.sparkSession).select(F.col("unit").alias("spelling"), "base_unit", "factor"))
+    found = phrase_matches(df.where(F.col(text).isNotNull()), key, text, gazetteer).select(key, F.lower("value").alias("found"))
+    read = df.select(key, F.nullif(F.lower(F.trim(brand)), F.lit("")).alias("brand"), value.alias("value"), unit.alias("spelling"), pack_count(F.col(text)).alias("pack_count"), F.coalesce(F.array_join(model_codes(F.col(text)), " "), F.lit("")).alias("codes"))
+    met = read.join(units, "spelling", "left").join(found, key, "left")
+    return met.select(key, F.coalesce("brand", "found").alias("brand"), "base_unit", F.round(F.col("value") * F.col("factor"), 3).alias("amount"), "pack_count", "codes")
+
+
 def attribute_pairs(df: DataFrame, key: str, scores: str) -> DataFrame:
     """``key, attribute, value, places`` of a ``map<attribute, map<value, struct<pid>>>`` column, without ``n/a``."""
     outer = df.select(key, F.explode(scores).alias("attribute", "values"))

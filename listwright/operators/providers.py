@@ -18,6 +18,35 @@ Validator = Callable[[dict], bool]
 CACHE = T.StructType([T.StructField(c, T.StringType()) for c in ("key", "model", "prompt", "response")])
 
 
+#: Settings of a call: deterministic, with a bounded context and reply.
+OPTIONS = {"temperature": 0, "seed": 42, "num_ctx": 2048, "num_predict": 300}
+
+
+def laddered(chat: Callable[[str, dict], str], options: dict | None = None, tries: int = 3) -> Provider:
+    """A provider that calls ``chat(prompt, options)`` and, where memory runs out, tries again with smaller settings.
+
+    An error that names the graphics device first leaves 12 layers on it, then none; any other lack of memory shrinks the
+    context. Other errors are raised as they are, and a RuntimeError after ``tries`` calls. Every prompt starts anew.
+    """
+
+    def provider(prompt: str) -> str:
+        own = dict(options or OPTIONS)
+        for _ in range(tries):
+            try:
+                return chat(prompt, dict(own))
+            except Exception as error:  # noqa: BLE001 - the kind of error depends on the provider
+                said = str(error).lower()
+                if "out of memory" not in said:
+                    raise
+                if "cuda" in said or "gpu" in said:
+                    own["num_gpu"] = 12 if "num_gpu" not in own else 0
+                else:
+                    own["num_ctx"] = 1024
+        raise RuntimeError(f"out of memory {tries} times")
+
+    return provider
+
+
 def prompt_key(model: str, prompt: Column, system: str = "") -> Column:
     """The cache key of a prompt."""
     return F.sha2(F.concat_ws("\x1f", F.lit(model), F.lit(system), prompt), 256)

@@ -7,7 +7,7 @@ import json
 from pyspark.sql import functions as F
 
 from listwright.functions import text as T
-from listwright.operators import clustering, graph, mapping, matching, providers, vectors
+from listwright.operators import clustering, evaluation, graph, mapping, matching, providers, vectors
 from listwright.plans.pipeline import run, run_benchmark, search
 from listwright.plans.tables import L, ONCE, listings
 from listwright.runtime import table
@@ -19,12 +19,12 @@ def _pairs(spark, sf_dir, undecided=False):
     """Distinct scored pairs of the pair table, each unordered pair once with its greatest scores and agreed label; ``undecided`` rows have no label."""
     df = table(spark, sf_dir, P).where("i is not null and j is not null and i <> j")
     df = df if undecided else df.where("label is not null")
-    ends = df.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "label", "sbert", F.col("char_cos"), *[c for c in df.columns if c.endswith("_conflict")])
-    return ends.groupBy("i", "j").agg(F.bool_and("label").alias("label"), F.max("sbert").alias("sbert"), F.max("char_cos").alias("char_cos"), *[F.bool_or(c).alias(c) for c in ends.columns if c.endswith("_conflict")])
+    ends = df.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "label", "is_val", "sbert", F.col("char_cos"), *[c for c in df.columns if c.endswith("_conflict")])
+    return ends.groupBy("i", "j").agg(F.bool_and("label").alias("label"), F.bool_or("is_val").alias("is_val"), F.max("sbert").alias("sbert"), F.max("char_cos").alias("char_cos"), *[F.bool_or(c).alias(c) for c in ends.columns if c.endswith("_conflict")])
 
 
 _FLAGS = ["qty_conflict", "pack_conflict", "brand_conflict", "code_conflict", "mrp_conflict"]
-PAIRS = f"(SELECT least(i, j) AS i, greatest(i, j) AS j, bool_and(label) AS label, max(sbert) AS sbert, max(char_cos) AS char_cos, {', '.join(f'bool_or({c}) AS {c}' for c in _FLAGS)} FROM {P} WHERE i IS NOT NULL AND j IS NOT NULL AND i <> j AND label IS NOT NULL GROUP BY 1, 2)"
+PAIRS = f"(SELECT least(i, j) AS i, greatest(i, j) AS j, bool_and(label) AS label, bool_or(is_val) AS is_val, max(sbert) AS sbert, max(char_cos) AS char_cos, {', '.join(f'bool_or({c}) AS {c}' for c in _FLAGS)} FROM {P} WHERE i IS NOT NULL AND j IS NOT NULL AND i <> j AND label IS NOT NULL GROUP BY 1, 2)"
 _VETO = "coalesce(qty_conflict, false) OR coalesce(pack_conflict, false)"
 _HYBRID = f"round(CASE WHEN {_VETO} THEN 0.0 ELSE w * coalesce(sbert, 0.0) + (1 - w) * coalesce(char_cos, 0.0) - CASE WHEN coalesce(brand_conflict, false) THEN bp ELSE 0.0 END - CASE WHEN coalesce(code_conflict, false) THEN mp ELSE 0.0 END END, 6)"
 HYBRID = f"(SELECT *, {_HYBRID} AS score FROM (SELECT *, 0.5 AS w, 0.2 AS bp, 0.1 AS mp FROM {PAIRS}))"
@@ -180,7 +180,33 @@ def split_ids(spark, sf_dir):
 
 
 def stratified_pairs(spark, sf_dir):
-    return matching.stratified_pairs(_hybrid(spark, sf_dir, undecided=True), 20)
+    return matching.stratified_pairs(_hybrid(spark, sf_dir, undecided=True).where("not coalesce(brand_conflict, false)"), 20)
+
+
+def configuration_report(spark, sf_dir):
+    return evaluation.configuration_report(_pairs(spark, sf_dir))
+
+
+def error_pool(spark, sf_dir):
+    return evaluation.error_pool(_hybrid(spark, sf_dir).withColumn("dataset", F.when(F.col("is_val"), "val").otherwise("test")), "dataset", 0.6)
+
+
+def rewritten_retrieval(spark, sf_dir):
+    names = listings(spark, sf_dir, "name_clean").where("name_clean is not null").groupBy(F.col("name_clean").alias("text")).agg(F.min("row_id").alias("id"))
+    forms = {"casual": F.lower("text"), "hinglish": F.coalesce(T.to_hinglish(F.col("text")), F.lower("text")), "variants": evaluation.spelling_variant(F.col("text"), _spellings()), "typos": F.array_join(F.transform(F.split("text", " "), T.add_typo), " ")}
+    asked = names.where("id % 100 = 0").select("id", F.explode(F.array(*[F.struct(F.lit(n).alias("form"), c.alias("text")) for n, c in forms.items()])).alias("q")).select("id", "q.*")
+    return evaluation.rewritten_retrieval(names, asked, vectors.hashed_encoder())
+
+
+SPELLED = {"salt": ["namak", "nammak"], "rice": ["chawal", "chaval", "chaawal"], "soap": ["sabun", "saabun"], "flour": ["atta", "aata"], "milk": []}
+
+
+def _spellings():
+    return F.create_map(*[x for k, vs in SPELLED.items() for x in (F.lit(k), F.array(*map(F.lit, vs)).cast("array<string>"))])
+
+
+def spelling_variants(spark, sf_dir):
+    return table(spark, sf_dir, L).where("name_clean is not null").select("row_id", evaluation.spelling_variant(F.col("name_clean"), _spellings()).alias("variant")).distinct()
 
 
 def ablation_pivot(spark, sf_dir):
@@ -341,7 +367,7 @@ def pipeline_search(spark, sf_dir):
 
 _LIST = """word_tfidf char_tfidf word_tfidf_topk dense_topk retrieval_metrics semantic_search categorize_centroid token_set_ratio encoded_names skip_gram_vectors
 block_topk_union block_brand self_block blocking_quality pair_features hybrid_score catalogue_score tune_grid best_threshold pair_prf split_ids stratified_pairs
-ablation_pivot grey_zone_band grey_zone_budget adjudicated_pairs classification_metrics per_class_sample components threshold_components agglomerative
+ablation_pivot configuration_report error_pool rewritten_retrieval spelling_variants grey_zone_band grey_zone_budget adjudicated_pairs classification_metrics per_class_sample components threshold_components agglomerative
 resplit_components density_clusters cluster_metrics cluster_sizes medoids ask_json canonical_names category_batches adjudicate_names hinglish_rewrites header_scores slot_values threshold_grid topics two_table_benchmark dedupe_pipeline pipeline_search"""
 QUERIES = {n: globals()[n] for n in _LIST.split()}
 
@@ -374,7 +400,7 @@ coalesce(abs(a.mrp - b.mrp) / nullif(greatest(a.mrp, b.mrp), 0) > 0.05, false) A
     "best_threshold": f"WITH n AS (SELECT count(*) AS n FROM {PAIRS} WHERE label), c AS (SELECT score, sum(sum(CASE WHEN label THEN 1 ELSE 0 END)) OVER (ORDER BY score DESC) AS tp, sum(count(*)) OVER (ORDER BY score DESC) AS k FROM {HYBRID} GROUP BY score) SELECT 'hybrid' AS config, score AS threshold, round(2.0 * tp / (k + (SELECT n FROM n)), 6) AS f1 FROM c ORDER BY f1 DESC, score DESC LIMIT 1",
     "pair_prf": f"WITH c AS (SELECT count(*) FILTER (score >= 0.6 AND label) AS tp, count(*) FILTER (score >= 0.6 AND NOT label) AS fp, count(*) FILTER (score < 0.6 AND label) AS fn FROM {HYBRID}) SELECT tp, fp, fn, round(tp / (tp + fp), 3) AS precision, round(tp / (tp + fn), 3) AS recall, {_F1('tp', 'fp', 'fn')} AS f1 FROM c",
     "split_ids": f"SELECT DISTINCT row_id, ('0x' || substr(md5('42|' || row_id), 1, 8))::BIGINT < 2147483648 AS is_val FROM {L}",
-    "stratified_pairs": f"WITH b AS (SELECT i, j, score, CASE WHEN score >= 0.95 AND score < 1.01 THEN 0 WHEN score >= 0.85 AND score < 0.95 THEN 1 WHEN score >= 0.75 AND score < 0.85 THEN 2 WHEN score >= 0.65 AND score < 0.75 THEN 3 WHEN score >= 0 AND score < 0.65 THEN 4 END AS band FROM {HYBRID}) SELECT i, j, score, band FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('42|' || i || '|' || j), i, j) AS n FROM b WHERE band IS NOT NULL) WHERE n <= 20",
+    "stratified_pairs": f"WITH b AS (SELECT i, j, score, CASE WHEN score >= 0.95 AND score < 1.01 THEN 0 WHEN score >= 0.85 AND score < 0.95 THEN 1 WHEN score >= 0.75 AND score < 0.85 THEN 2 WHEN score >= 0.65 AND score < 0.75 THEN 3 WHEN score >= 0 AND score < 0.65 THEN 4 END AS band FROM {HYBRID} WHERE NOT coalesce(brand_conflict, false)) SELECT i, j, score, band FROM (SELECT *, row_number() OVER (PARTITION BY band ORDER BY md5('42|' || i || '|' || j), i, j) AS n FROM b WHERE band IS NOT NULL) WHERE n <= 20",
     "ablation_pivot": f"""WITH s AS (SELECT i % 2 = 0 AS even, label, 'char' AS config, coalesce(char_cos, 0.0) AS score FROM {PAIRS} UNION ALL SELECT i % 2 = 0, label, 'rules', round({_CAT.format(w=0.0)}, 6) FROM {PAIRS}),
 c AS (SELECT config, even, count(*) FILTER (score >= 0.7 AND label) AS tp, count(*) FILTER (score >= 0.7 AND NOT label) AS fp, count(*) FILTER (score < 0.7 AND label) AS fn FROM s GROUP BY 1, 2) SELECT config, max(CASE WHEN even THEN {_F1('tp', 'fp', 'fn')} END) AS even, max(CASE WHEN NOT even THEN {_F1('tp', 'fp', 'fn')} END) AS odd FROM c GROUP BY config""",
     "grey_zone_band": f"SELECT i, j, score FROM {HYBRID} WHERE score >= 0.6 AND score < 0.8",
@@ -405,3 +431,14 @@ SELECT vec_id, label FROM (SELECT e.vec_id, m.label, row_number() OVER (PARTITIO
 }
 for _name in "hybrid_score catalogue_score threshold_components stratified_pairs grey_zone_band grey_zone_budget adjudicate_names cluster_metrics".split():
     ORACLES[_name] = ORACLES[_name].replace(" AND label IS NOT NULL", "")  # these need no label
+_CELLS = ", ".join(f"('{n}', {w}::DOUBLE, {b}::DOUBLE, {c}::DOUBLE, {v})" for n, w, b, c, v in evaluation.cells_of())
+ORACLES["configuration_report"] = f"""WITH s AS (SELECT config, w, bp, mp, label, is_val, round(CASE WHEN vetoes AND (coalesce(qty_conflict, false) OR coalesce(pack_conflict, false)) THEN 0.0 ELSE w * coalesce(sbert, 0.0) + (1 - w) * coalesce(char_cos, 0.0)
+- CASE WHEN coalesce(brand_conflict, false) THEN bp ELSE 0.0 END - CASE WHEN coalesce(code_conflict, false) THEN mp ELSE 0.0 END END, 6) AS score FROM {PAIRS}, (VALUES {_CELLS}) c(config, w, bp, mp, vetoes) WHERE is_val IS NOT NULL),
+n AS (SELECT count(*) FILTER (label AND is_val) AS n FROM {PAIRS}), c AS (SELECT config, w, bp, mp, score, sum(sum(CASE WHEN label THEN 1 ELSE 0 END)) OVER x AS tp, sum(count(*)) OVER x AS k FROM s WHERE is_val GROUP BY config, w, bp, mp, score WINDOW x AS (PARTITION BY config, w, bp, mp ORDER BY score DESC)),
+t AS (SELECT config, w, bp, mp, score AS threshold, f1 AS val_f1 FROM (SELECT *, row_number() OVER (PARTITION BY config ORDER BY f1 DESC, w, bp, mp, score DESC) AS rn FROM (SELECT *, round(2.0 * tp / (k + (SELECT n FROM n)), 6) AS f1 FROM c)) WHERE rn = 1),
+r AS (SELECT config, w, bp AS brand_penalty, mp AS code_penalty, threshold, val_f1, count(*) FILTER (score >= threshold AND label) AS tp, count(*) FILTER (score >= threshold AND NOT label) AS fp, count(*) FILTER (score < threshold AND label) AS fn FROM s JOIN t USING (config, w, bp, mp) WHERE NOT is_val GROUP BY ALL)
+SELECT *, round(coalesce(tp / nullif(tp + fp, 0), 0.0), 3) AS precision, round(coalesce(tp / nullif(tp + fn, 0), 0.0), 3) AS recall, {_F1('tp', 'fp', 'fn')} AS f1 FROM r"""
+ORACLES["error_pool"] = f"""SELECT dataset, i, j, label AS gold, score >= 0.6 AS predicted, score, rules FROM (SELECT *, CASE WHEN is_val THEN 'val' ELSE 'test' END AS dataset, concat_ws(',', CASE WHEN qty_conflict THEN 'qty_conflict' END, CASE WHEN pack_conflict THEN 'pack_conflict' END, CASE WHEN brand_conflict THEN 'brand_conflict' END, CASE WHEN code_conflict THEN 'code_conflict' END) AS rules,
+row_number() OVER (PARTITION BY CASE WHEN is_val THEN 'val' ELSE 'test' END ORDER BY round(abs(score - 0.6), 6) DESC, i, j) AS rn FROM {HYBRID} WHERE (score >= 0.6) <> label) WHERE rn <= 40"""
+_CHOSEN = " ".join(f"WHEN '{k}' THEN {vs}[('0x' || substr(md5('42|' || t || '|' || name_clean), 1, 8))::BIGINT % {len(vs)} + 1]" for k, vs in SPELLED.items() if vs)
+ORACLES["spelling_variants"] = f"SELECT DISTINCT row_id, array_to_string(list_transform(string_split(name_clean, ' '), lambda t: CASE t {_CHOSEN} ELSE t END), ' ') AS variant FROM {L} WHERE name_clean IS NOT NULL"

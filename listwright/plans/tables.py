@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -276,6 +278,28 @@ def extract_rules(spark, sf_dir):
     return extract.extract_rules(df, "row_id", "product_name", extract.brand_gazetteer(df.where("brand is not null").select("brand")))
 
 
+def attribute_record(spark, sf_dir):
+    df = listings(spark, sf_dir, "name_clean", "brand")
+    return extract.attribute_record(df, "row_id", "name_clean", "brand", extract.brand_gazetteer(df.where("brand is not null").select("brand")))
+
+
+def best_spans(spark, sf_dir):
+    at = lambda c: F.call_function("instr", F.lower("product_name"), F.lower(c))
+    found = F.array(*[F.struct(F.lit(c).alias("label"), F.col(c).alias("value"), at(c).alias("start"), F.round(F.length(c) / F.length("product_name"), 4).alias("score")) for c in ("brand", "quantity", "sub_category")], F.struct(F.lit("brand").alias("label"), F.split_part("product_name", F.lit(" "), F.lit(1)).alias("value"), F.lit(1).alias("start"), F.lit(0.2).cast("double").alias("score")))
+    spans = listings(spark, sf_dir, "product_name", "brand", "quantity", "sub_category").select("row_id", F.explode(found).alias("s")).select("row_id", "s.*")
+    return extract.best_spans(spans.where("start > 0"), "row_id", 0.1)
+
+
+def extracted_records(spark, sf_dir):
+    df = table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(" ", "p_brand", "p_name").alias("name"))
+    return extract.extract_record(df, "p_partkey", "name", _reader, (("Red tea 2 pcs", '{"colour": "red", "pack_count": 2}'),))
+
+
+def _reader(prompt: str) -> str:
+    words = prompt.rpartition("Name: ")[2].partition("\n")[0].split()
+    return json.dumps({"brand": words[0], "product_type": words[-1], "pack_count": len(words) - 3})
+
+
 def slot_scores(spark, sf_dir):
     df = listings(spark, sf_dir, "name_clean", "brand")
     pred = df.select("row_id", F.lit("brand").alias("attribute"), F.split_part(F.trim("name_clean"), F.lit(" "), F.lit(1)).alias("value")).where("value is not null")
@@ -319,7 +343,7 @@ def class_terms(spark, sf_dir):
 _NAMES = """profile_table null_percent top_values unit_mentions token_counts column_entropy column_profile select_columns map_headers_rules header_tokens
 sample_values to_number category_levels price_conflict canonical_part canonical_tables mapping_accuracy selection_quality pick_names find_quantities
 parse_quantity parse_number pack_counts model_codes expand_abbreviations lemmatized hinglish_names normalize_names match_text kind_format attribute_spans
-synthetic mine_abbreviations spell_correct corrected_names spelling_quality unit_accuracy gazetteer gazetteer_brand extract_rules slot_scores
+synthetic mine_abbreviations spell_correct corrected_names spelling_quality unit_accuracy gazetteer gazetteer_brand extract_rules attribute_record best_spans extracted_records slot_scores
 interleaved_sample attribute_pairs transliteration training_rows class_terms"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
@@ -408,3 +432,14 @@ SELECT b.roman, b.native, (SELECT count(DISTINCT d.roman) FROM d WHERE d.native
     "class_terms": """WITH w AS (SELECT p_type AS g, unnest(string_split_regex(lower(trim(p_name)), '[^a-z0-9]+')) AS term FROM part), c AS (SELECT g, term, count(*) AS c FROM w WHERE term <> '' GROUP BY g, term), s AS (SELECT g, sum(c) AS n FROM c GROUP BY g), f AS (SELECT term, sum(c) AS f FROM c GROUP BY term),
 x AS (SELECT g, term, round(c / n * ln(1 + (SELECT avg(n) FROM s) / f), 6) AS score FROM c JOIN s USING (g) JOIN f USING (term)) SELECT p_type, term, score, rank FROM (SELECT g AS p_type, term, score, row_number() OVER (PARTITION BY g ORDER BY score DESC, term) AS rank FROM x) WHERE rank <= 5""",
 }
+_JOINED = "lower(name_clean)"
+for _ in range(3):  # a mark between two others is joined in a later round
+    _JOINED = f"regexp_replace({_JOINED}, '([a-z0-9])[-/.]([a-z]*[0-9])', '\\1\\2', 'g')"
+_CODES_SQL = f"coalesce(array_to_string(list_sort(list_distinct(list_filter(regexp_extract_all({_JOINED}, '[a-z0-9]+'), lambda t: length(t) >= 4 AND regexp_matches(t, '[a-z]') AND regexp_matches(t, '[0-9]') AND NOT regexp_full_match(t, '[0-9]+(gb|tb|mb|mm|cm|in|mp|hz|w|v|g|kg|ml|l)')))), ' '), '')"
+ORACLES["attribute_record"] = f"""WITH gb AS ({ORACLES["gazetteer_brand"].replace("max(coalesce(name_clean, ''))", "coalesce(arg_min(name_clean, ingested_at), '')")}), q AS (SELECT row_id, base_unit, amount FROM ({ORACLES["parse_quantity"]})), k AS ({ORACLES["pack_counts"]})
+SELECT o.row_id, coalesce(nullif(lower(trim(o.brand)), ''), lower(gb.value)) AS brand, q.base_unit, q.amount, k.pack AS pack_count, {_CODES_SQL} AS codes FROM {ONCE} o LEFT JOIN gb USING (row_id) LEFT JOIN q USING (row_id) LEFT JOIN k USING (row_id)"""
+ORACLES["best_spans"] = f"""WITH o AS (SELECT row_id, product_name AS t, unnest([{{'label': 'brand', 'value': brand, 'score': NULL::DOUBLE}}, {{'label': 'quantity', 'value': quantity, 'score': NULL}}, {{'label': 'sub_category', 'value': sub_category, 'score': NULL}}, {{'label': 'brand', 'value': split_part(product_name, ' ', 1), 'score': 0.2}}]) AS s FROM {ONCE}),
+d AS (SELECT row_id, s.label AS label, s.value AS value, CASE WHEN s.score IS NULL THEN strpos(lower(t), lower(s.value)) ELSE 1 END AS start, coalesce(s.score, round(length(s.value)::DOUBLE / length(t), 4)) AS score FROM o)
+SELECT row_id, label, value, score FROM (SELECT *, row_number() OVER (PARTITION BY row_id, label ORDER BY score DESC, start, value) AS rn FROM d WHERE start > 0 AND score >= 0.1 AND value IS NOT NULL) WHERE rn = 1"""
+ORACLES["extracted_records"] = """WITH w AS (SELECT p_partkey, string_split_regex(trim(concat_ws(' ', p_brand, p_name)), '\\s+') AS w FROM part) SELECT p_partkey, CASE WHEN len(w) > 3 THEN w[1] END AS brand, CASE WHEN len(w) > 3 THEN w[-1] END AS product_type,
+NULL::VARCHAR AS variant, NULL::VARCHAR AS quantity, CASE WHEN len(w) > 3 THEN (len(w) - 3)::INT END AS pack_count, NULL::VARCHAR AS colour FROM w"""

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from listwright.functions import text as T
-from listwright.operators import clustering, extract, graph, mapping, matching, profile, providers, spelling, vectors
+from listwright.operators import clustering, evaluation, extract, graph, mapping, matching, profile, providers, spelling, vectors
 from listwright.plans import records
 from listwright.plans.pipeline import Params, run, search
 from listwright.runtime import broadcast_if_small, plan_bytes, stored
@@ -388,3 +388,54 @@ def test_batches_keep_the_order_of_keys(spark):
     df = spark.createDataFrame([(k * 40_000_000, f"t{k}") for k in range(25)], "k bigint, t string")
     got = {r.batch: r.texts for r in providers.batches_of(df, "k", "t", 10).collect()}
     assert [x for b in sorted(got) for x in got[b]] == [f"t{k}" for k in range(25)] and len(got) == 3
+
+
+def test_settings_shrink_where_memory_runs_out():
+    seen = []
+
+    def chat(prompt, options):
+        seen.append(options)
+        if len(seen) == 1:
+            raise RuntimeError("CUDA error: out of memory")
+        if len(seen) == 2:
+            raise RuntimeError("model needs more: out of memory")
+        return "{}"
+
+    assert providers.laddered(chat)("x") == "{}"
+    assert [(o.get("num_gpu"), o["num_ctx"]) for o in seen] == [(None, 2048), (12, 2048), (12, 1024)]
+    with pytest.raises(RuntimeError, match="3 times"):
+        providers.laddered(lambda p, o: (_ for _ in ()).throw(MemoryError("out of memory")))("x")
+    with pytest.raises(ValueError, match="bad"):
+        providers.laddered(lambda p, o: (_ for _ in ()).throw(ValueError("bad")))("x")
+
+
+def test_best_spans_and_typed_records(spark):
+    spans = spark.createDataFrame([(1, "brand", "b", 5, 0.9), (1, "brand", "a", 2, 0.9), (1, "colour", "c", 1, 0.3), (2, "brand", None, 1, 0.9)], "k int, label string, value string, start int, score double")
+    assert rows(extract.best_spans(spans, "k")) == [(1, "brand", "a", 0.9)]
+    names = spark.createDataFrame([(1, "good"), (2, "wrong pack"), (3, "other field"), (4, None)], "k int, name string")
+    reply = lambda p: json.dumps({"brand": "b", "pack_count": 2} if "good" in p else {"pack_count": 0} if "pack" in p else {"shape": "x"})
+    assert rows(extract.extract_record(names, "k", "name", reply).select("k", "brand", "pack_count")) == [(1, "b", 2), (2, None, None), (3, None, None), (4, None, None)]
+
+
+def test_configurations_errors_and_costs(spark):
+    cols = "i int, j int, sbert double, char_cos double, qty_conflict boolean, pack_conflict boolean, brand_conflict boolean, code_conflict boolean, label boolean, is_val boolean"
+    data = [(k, k + 1, 0.9, 0.8, False, False, None, False, True, k % 2 == 0) for k in range(6)] + [(k, k + 9, 0.9, 0.8, True, False, False, False, False, k % 2 == 0) for k in range(6)] + [(1, 2, None, None, None, None, None, None, None, True)]
+    df = spark.createDataFrame(data, cols)
+    got = {r.config: (r.f1, r.tp, r.fp) for r in evaluation.configuration_report(df).collect()}
+    assert len(got) == 5 and got["hybrid with all rules"] == (1.0, 3, 0) and got["char only"] == (0.667, 3, 3)
+    wrong = evaluation.error_pool(df.withColumn("score", F.lit(0.8)).withColumn("d", F.lit("x")), "d", 0.5, 2)
+    assert [(r.i, r.gold, r.predicted, r.rules) for r in wrong.orderBy("i").collect()] == [(0, False, True, "qty_conflict"), (1, False, True, "qty_conflict")]
+    assert evaluation.configuration_report(df.where("false")).count() == 0
+    assert [(c["stage"], c["rows"]) for c in evaluation.stage_costs({"a": lambda: spark.range(7)})] == [("a", 7)]
+
+
+def test_offers_are_chosen_by_name(spark, tmp_path):
+    (tmp_path / f"{readers.offer_file('offers', 80, 'gs', '', 50)}.json").write_text('{"id": 1}\n')
+    assert rows(readers.read_offers(spark, str(tmp_path), "id int", unseen=50)) == [(1,)]
+    with pytest.raises(FileNotFoundError):
+        readers.read_offers(spark, str(tmp_path), "id int", split="train")
+
+
+def test_all_quantities(spark):
+    got = spark.createDataFrame([("2 kg and 500 g, .5l",), ("none 5 kgx",), (None,)], "t string").select(T.all_quantities(F.col("t")).alias("q")).collect()
+    assert [[(x.value, x.unit) for x in r.q] for r in got] == [[(2.0, "kg"), (500.0, "g"), (0.5, "l")], [], []]
