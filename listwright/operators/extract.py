@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 
 from listwright.functions.text import first_quantity, model_codes, pack_count
 from listwright.operators.mapping import prf_columns
-from listwright.operators.units import conversion_table
+from listwright.operators.units import spelling_table
 from listwright.runtime import broadcast_if_small
 
 # Colours and cuts that are never brands.
@@ -127,7 +127,7 @@ def attribute_record(df: DataFrame, key: str, text: str, brand: str, gazetteer:
     the first quantity in its canonical unit, the pack count and the model codes of the text.
     """
     value, unit = first_quantity(F.col(text))
-    units = broadcast_if_small(conversion_table(df.sparkSession).select(F.col("unit").alias("spelling"), "base_unit", "factor"))
+    units = broadcast_if_small(spelling_table(df.sparkSession))
     found = phrase_matches(df.where(F.col(text).isNotNull()), key, text, gazetteer).select(key, F.lower("value").alias("found"))
     read = df.select(key, F.nullif(F.lower(F.trim(brand)), F.lit("")).alias("brand"), value.alias("value"), unit.alias("spelling"), pack_count(F.col(text)).alias("pack_count"), F.coalesce(F.array_join(model_codes(F.col(text)), " "), F.lit("")).alias("codes"))
     met = read.join(units, "spelling", "left").join(found, key, "left")

@@ -80,6 +80,13 @@ def conversion_table(spark: SparkSession, edges: Iterable[Edge] = CONVERSIONS) -
     return spark.createDataFrame(rows, "unit string, base_unit string, factor double, offset double")
 
 
+def spelling_table(spark: SparkSession) -> DataFrame:
+    """``spelling, base_unit, factor``: one row per spelling of a unit."""
+    table = compositions()
+    rows = [(s, table[u][0], float(table[u][1])) for s, u in spellings().items()]
+    return spark.createDataFrame(rows, "spelling string, base_unit string, factor double")
+
+
 _PARTS = T.StructType([T.StructField("v1", T.DoubleType()), T.StructField("u1", T.StringType()), T.StructField("v2", T.DoubleType()), T.StructField("u2", T.StringType())])
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from listwright.functions import text as T
 from listwright.operators import clustering, evaluation, graph, mapping, matching, providers, vectors
 from listwright.plans.pipeline import run, run_benchmark, search
-from listwright.plans.tables import L, ONCE, listings
+from listwright.plans.tables import L, ONCE, _UNIT_ROWS, listings
 from listwright.runtime import table
 
 P = "phase5_pairs"
@@ -302,13 +302,13 @@ def ask_json(spark, sf_dir):
 
 def canonical_names(spark, sf_dir):
     c = table(spark, sf_dir, "phase6_canonical_names").select("cluster_id", "members", "medoid_name").distinct()
-    return providers.canonical_names(c, _stub).groupBy(F.col("name").isNull().alias("missing")).agg(F.count("*").alias("n"))
+    return providers.canonical_names(c, _stub)
 
 
 def category_batches(spark, sf_dir):
     b = providers.batches_of(table(spark, sf_dir, "part"), "p_partkey", "p_name", 10)
     asked, _ = providers.ask(b.withColumn("prompt", F.concat(F.lit("labels\n"), F.array_join("texts", "\n"))), "prompt", _stub, lambda r: isinstance(r.get("labels"), list))
-    return providers.batch_labels(asked, [*"abcdefghijklmnopqrstuvwxyz"]).groupBy("label").agg(F.count("*").alias("n"))
+    return providers.batch_labels(asked, [*"abcdefghijklmnopqrstuvwxyz"])
 
 
 def adjudicate_names(spark, sf_dir):
@@ -442,3 +442,12 @@ ORACLES["error_pool"] = f"""SELECT dataset, i, j, label AS gold, score >= 0.6 AS
 row_number() OVER (PARTITION BY CASE WHEN is_val THEN 'val' ELSE 'test' END ORDER BY round(abs(score - 0.6), 6) DESC, i, j) AS rn FROM {HYBRID} WHERE (score >= 0.6) <> label) WHERE rn <= 40"""
 _CHOSEN = " ".join(f"WHEN '{k}' THEN {vs}[('0x' || substr(md5('42|' || t || '|' || name_clean), 1, 8))::BIGINT % {len(vs)} + 1]" for k, vs in SPELLED.items() if vs)
 ORACLES["spelling_variants"] = f"SELECT DISTINCT row_id, array_to_string(list_transform(string_split(name_clean, ' '), lambda t: CASE t {_CHOSEN} ELSE t END), ' ') AS variant FROM {L} WHERE name_clean IS NOT NULL"
+ORACLES["canonical_names"] = """WITH d AS (SELECT DISTINCT cluster_id, members, medoid_name FROM phase6_canonical_names), p AS (SELECT *, 'One name for: ' || array_to_string(members[1:10], ' | ') AS prompt, substr(split_part(array_to_string(members[1:10], ' | '), ' | ', 1), 1, 120) AS said FROM d)
+SELECT cluster_id, CASE WHEN length(prompt) % 11 <> 0 AND said <> '' THEN said ELSE medoid_name END AS name FROM p"""
+ORACLES["category_batches"] = """WITH n AS (SELECT p_partkey AS key, p_name, (row_number() OVER (ORDER BY p_partkey) - 1) // 10 AS b FROM part), p AS (SELECT b, length('labels' || chr(10) || string_agg(p_name, chr(10))) AS size, bool_and(regexp_full_match(substr(p_name, 1, 1), '[a-z]')) AS good FROM n GROUP BY b)
+SELECT key, CASE WHEN size % 11 <> 0 AND good THEN substr(p_name, 1, 1) END AS label FROM n JOIN p USING (b)"""
+_PLAIN = "regexp_replace(lower(trim({})), '\\s+', ' ', 'g')"
+_READ = f"([0-9]+(?:\\.[0-9]+)?|\\.[0-9]+)\\s*({T._UNITS})(?:[^a-z0-9]|$)"
+ORACLES["slot_values"] = f"""WITH u AS (SELECT * FROM (VALUES {_UNIT_ROWS}) t(u, base_unit, factor)), l AS (SELECT row_id, {_PLAIN.format("quantity")} AS q, pack_count, {_PLAIN.format("brand")} AS brand FROM {L}),
+r AS (SELECT *, try_cast(regexp_extract(q, '{_READ}', 1) AS DOUBLE) AS v, regexp_extract(q, '{_READ}', 2) AS spelling FROM l)
+SELECT DISTINCT row_id, CASE WHEN factor IS NOT NULL AND v IS NOT NULL THEN round(v * factor, 3)::VARCHAR || ' ' || base_unit ELSE q END AS quantity, nullif(regexp_extract(pack_count::VARCHAR, '([0-9]+)', 1), '') AS pack, brand FROM r LEFT JOIN u ON u.u = spelling"""

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from listwright.functions import text as T
 from listwright.operators import extract, mapping, profile, spelling
 from listwright.operators.pairs import SHORT, class_tfidf, synthetic_pairs, training_triplets, transliteration_map
-from listwright.operators.units import compositions, conversion_table
+from listwright.operators.units import compositions, spelling_table
 from listwright.runtime import broadcast_if_small, table
 from listwright.sources.readers import pick_name
 
@@ -166,7 +166,7 @@ _SPELL = T._UNITS
 
 def parse_quantity(spark, sf_dir):
     value, unit = T.first_quantity(F.col("name_clean"))
-    units = broadcast_if_small(conversion_table(spark).select(F.col("unit").alias("spelling"), "base_unit", "factor"))
+    units = broadcast_if_small(spelling_table(spark))
     read = table(spark, sf_dir, L).select("row_id", value.alias("value"), unit.alias("spelling")).distinct()
     return read.join(units, "spelling").select("row_id", "base_unit", F.round(F.col("value") * F.col("factor"), 3).alias("amount"))
 
@@ -246,7 +246,7 @@ def corrected_names(spark, sf_dir):
     df = table(spark, sf_dir, L).where("name_clean is not null").select("row_id", F.lower(F.trim("name_clean")).alias("name_clean")).distinct()
     counts = profile.token_counts(table(spark, sf_dir, L), "name_clean")
     fixed = spelling.correct_text(df, "row_id", "name_clean", spelling.corrections(counts.where(F.col("count") < 3), counts))
-    return fixed.agg(F.count("*").alias("rows"), F.count_distinct("corrected").alias("forms"))
+    return fixed.distinct()
 
 
 def spelling_quality(spark, sf_dir):
@@ -328,12 +328,11 @@ def transliteration(spark, sf_dir):
 
 def training_rows(spark, sf_dir):
     df = listings(spark, sf_dir, "name_clean").where("name_clean is not null")
-    syn = synthetic_pairs(table(spark, sf_dir, "part"), "p_name")
+    syn = synthetic(spark, sf_dir)
     matched = table(spark, sf_dir, "phase5_pairs").where("label").select(F.col("i").alias("row_id"), "j").join(df.select("row_id", F.col("name_clean").alias("left")), "row_id").join(df.select(F.col("row_id").alias("j"), F.col("name_clean").alias("right")), "j").select("left", "right")
     tested = table(spark, sf_dir, "phase5_pairs").where("is_val").select(F.col("i").alias("row_id"))
     held = df.join(tested, "row_id", "left_semi").select(F.col("name_clean").alias("original"))
-    out = training_triplets(syn, matched, held)
-    return out.groupBy(F.col("negative").isNull().alias("matched")).agg(F.count("*").alias("n"), F.count_distinct("anchor").alias("anchors"))
+    return training_triplets(syn, matched, held)
 
 
 def class_terms(spark, sf_dir):
@@ -347,7 +346,7 @@ synthetic mine_abbreviations spell_correct corrected_names spelling_quality unit
 interleaved_sample attribute_pairs transliteration training_rows class_terms"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 
-_UNIT_ROWS = ", ".join(f"('{u}', '{b}', {float(f)!r})" for u, (b, f, _) in compositions().items())
+_UNIT_ROWS = ", ".join(f"('{u}', '{b}', {float(f)!r})" for u, (b, f, _) in ((s, compositions()[u]) for s, u in T.spellings().items() if s.isascii()))
 _SHORT = " ".join("WHEN '{}' THEN '{}'".format(*p.split("=")) for p in SHORT.split())
 _SPELLED = "o"  # letters whose capital is two letters
 for _small, _large in (("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ß", "ss")):
@@ -443,3 +442,14 @@ d AS (SELECT row_id, s.label AS label, s.value AS value, CASE WHEN s.score IS NU
 SELECT row_id, label, value, score FROM (SELECT *, row_number() OVER (PARTITION BY row_id, label ORDER BY score DESC, start, value) AS rn FROM d WHERE start > 0 AND score >= 0.1 AND value IS NOT NULL) WHERE rn = 1"""
 ORACLES["extracted_records"] = """WITH w AS (SELECT p_partkey, string_split_regex(trim(concat_ws(' ', p_brand, p_name)), '\\s+') AS w FROM part) SELECT p_partkey, CASE WHEN len(w) > 3 THEN w[1] END AS brand, CASE WHEN len(w) > 3 THEN w[-1] END AS product_type,
 NULL::VARCHAR AS variant, NULL::VARCHAR AS quantity, CASE WHEN len(w) > 3 THEN (len(w) - 3)::INT END AS pack_count, NULL::VARCHAR AS colour FROM w"""
+ORACLES["corrected_names"] = f"""WITH f AS ({ORACLES["spell_correct"]}), d AS (SELECT DISTINCT row_id, lower(trim(name_clean)) AS n FROM {L} WHERE name_clean IS NOT NULL), t AS (SELECT row_id, n, unnest(string_split(n, ' ')) AS token, generate_subscripts(string_split(n, ' '), 1) AS k FROM d)
+SELECT DISTINCT row_id, corrected FROM (SELECT row_id, n, string_agg(coalesce(word, token), ' ' ORDER BY k) AS corrected FROM t LEFT JOIN f USING (token) GROUP BY row_id, n)"""
+ORACLES["training_rows"] = f"""WITH y AS ({ORACLES["synthetic"]}), o AS (SELECT row_id, name_clean FROM {ONCE} WHERE name_clean IS NOT NULL), held AS (SELECT name_clean AS h FROM o WHERE row_id IN (SELECT i FROM phase5_pairs WHERE is_val)),
+a AS (SELECT p.original AS anchor, p.variant AS positive, n.variant AS negative FROM y p JOIN y n USING (original) WHERE p.label AND NOT n.label UNION SELECT a.name_clean, b.name_clean, NULL FROM phase5_pairs p JOIN o a ON a.row_id = p.i JOIN o b ON b.row_id = p.j WHERE p.label)
+SELECT DISTINCT anchor, positive, negative FROM a WHERE anchor <> positive AND anchor NOT IN (SELECT h FROM held)"""
+_WORDS_SQL = "list_filter(string_split_regex(lower({}), '[^\\p{{L}}\\p{{N}}'']+'), lambda w: w <> '')"
+_NAMED_SQL = ORACLES["gazetteer_brand"].replace("max(coalesce(name_clean, ''))", "coalesce(arg_min(product_name, ingested_at), '')")
+_COLOURS_SQL = f"string_split('{extract.COLOURS}', ' ')"
+ORACLES["extract_rules"] = f"""WITH gb AS ({_NAMED_SQL}), o AS (SELECT row_id, product_name AS t, {_WORDS_SQL.format("product_name")} AS w, {_WORDS_SQL.format("regexp_extract(product_name, '^([^,(|/[]*?)(?: - |[,(|/[]|$)', 1)")} AS part FROM {ONCE} WHERE product_name IS NOT NULL),
+x AS (SELECT o.row_id, gb.value AS brand, list_filter(w, lambda v: list_contains({_COLOURS_SQL}, v))[1] AS colour, list_filter(part, lambda v: regexp_full_match(v, '\\p{{L}}+') AND NOT list_contains({_COLOURS_SQL}, v) AND NOT list_contains(coalesce({_WORDS_SQL.format("gb.value")}, []), v)) AS rest FROM o LEFT JOIN gb USING (row_id))
+SELECT row_id, brand, colour, nullif(array_to_string(rest[-3:], ' '), '') AS product_type FROM x"""
