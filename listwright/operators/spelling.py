@@ -9,6 +9,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from listwright.functions.text import expand_abbreviations, first_quantity, lemmatize, pack_count, with_normalized
+from listwright.operators.units import spelling_table
+from listwright.runtime import broadcast_if_small
+
 # Limits of the corrector.
 MIN_COUNT, MIN_LENGTH, LONG_WORD, RATIO = 3, 5, 8, 10
 
@@ -72,6 +76,24 @@ def correct_text(df: DataFrame, key: str, text: str, fixes: DataFrame) -> DataFr
     return parts.select(key, F.array_join(F.col("x.w"), " ").alias("corrected"))
 
 
+def clean_names(df: DataFrame, key: str, name: str, fixes: DataFrame | None = None) -> DataFrame:
+    """``key, name_clean, name_norm, qty_value, qty_unit, pack_count`` of raw names: the whole cleaner in one plan.
+
+    Names are normalized, abbreviations spelled out and, with ``fixes(token, word)``, misspelt words put right; name_norm has
+    lemmas in their place. The amount and the pack count are read from the raw name, the pack count else from the
+    clean one. Null names give nulls; of repeated keys with different names the smallest counts.
+    """
+    once = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(name).alias("_name"))
+    clean = with_normalized(once, "_name", "_clean").withColumn("_clean", expand_abbreviations(F.col("_clean")))
+    if fixes is not None:
+        mended = correct_text(clean.where(F.col("_clean").isNotNull()).select(key, "_clean"), key, "_clean", fixes)
+        clean = clean.join(mended, key, "left").withColumn("_clean", F.coalesce("corrected", "_clean")).drop("corrected")
+    value, unit = first_quantity(F.col("_name"))
+    read = clean.select(key, F.col("_clean").alias("name_clean"), lemmatize(F.col("_clean")).alias("name_norm"), value.alias("_v"), unit.alias("spelling"), F.coalesce(pack_count(F.col("_name")), pack_count(F.col("_clean"))).alias("pack_count"))
+    met = read.join(broadcast_if_small(spelling_table(df.sparkSession)), "spelling", "left")
+    return met.select(key, "name_clean", "name_norm", F.round(F.col("_v") * F.col("factor"), 3).alias("qty_value"), F.col("base_unit").alias("qty_unit"), "pack_count")
+
+
 def mine_abbreviations(counts: DataFrame, top: int = 60) -> DataFrame:
     """``short, long, short_count, long_count``: likely abbreviations in ``(token, count)``.
 

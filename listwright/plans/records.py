@@ -355,14 +355,18 @@ def two_table_benchmark(spark, sf_dir):
     return run_benchmark(a, b, first.select(F.col("id").alias("i"), F.col("id").alias("j"))).test
 
 
+def _raw(spark, sf_dir):
+    """Listings as they come, under the headers of a shop's export."""
+    df = listings(spark, sf_dir, "product_name", "brand", "category", "price", "mrp")
+    return df.select(F.col("row_id").alias("sku"), F.col("product_name").alias("title"), "brand", "category", F.col("price").alias("sale_price"), F.col("mrp").alias("retail_price"))
+
+
 def dedupe_pipeline(spark, sf_dir):
-    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit("kg")).alias("title"), F.col("p_brand").alias("brand"))
-    return run(df, key="sku").clusters
+    return run(_raw(spark, sf_dir), key="sku").clusters
 
 
 def pipeline_search(spark, sf_dir):
-    df = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("sku"), "p_name", F.col("p_brand").alias("brand"))
-    return search(run(df.withColumnRenamed("p_name", "title"), key="sku"), "red anvil", 5).select("row_id", "rank")
+    return search(run(_raw(spark, sf_dir), key="sku"), "mustard oil 1 kg", 5).select("row_id", "rank")
 
 
 _LIST = """word_tfidf char_tfidf word_tfidf_topk dense_topk retrieval_metrics semantic_search categorize_centroid token_set_ratio encoded_names skip_gram_vectors

@@ -249,6 +249,11 @@ def corrected_names(spark, sf_dir):
     return fixed.distinct()
 
 
+def clean_names(spark, sf_dir):
+    counts = profile.token_counts(table(spark, sf_dir, L), "name_clean")
+    return spelling.clean_names(table(spark, sf_dir, L), "row_id", "product_name", spelling.corrections(counts.where(F.col("count") < 3), counts))
+
+
 def spelling_quality(spark, sf_dir):
     counts = profile.token_counts(table(spark, sf_dir, L), "name_clean")
     originals = counts.where("count >= 3 and token rlike '^[a-z]{5,}$'").select(F.col("token").alias("original"), T.add_typo(F.col("token")).alias("token")).where("original <> token")
@@ -342,7 +347,7 @@ def class_terms(spark, sf_dir):
 _NAMES = """profile_table null_percent top_values unit_mentions token_counts column_entropy column_profile select_columns map_headers_rules header_tokens
 sample_values to_number category_levels price_conflict canonical_part canonical_tables mapping_accuracy selection_quality pick_names find_quantities
 parse_quantity parse_number pack_counts model_codes expand_abbreviations lemmatized hinglish_names normalize_names match_text kind_format attribute_spans
-synthetic mine_abbreviations spell_correct corrected_names spelling_quality unit_accuracy gazetteer gazetteer_brand extract_rules attribute_record best_spans extracted_records slot_scores
+synthetic mine_abbreviations spell_correct corrected_names clean_names spelling_quality unit_accuracy gazetteer gazetteer_brand extract_rules attribute_record best_spans extracted_records slot_scores
 interleaved_sample attribute_pairs transliteration training_rows class_terms"""
 QUERIES = {n: globals()[n] for n in _NAMES.split()}
 

@@ -439,3 +439,13 @@ def test_offers_are_chosen_by_name(spark, tmp_path):
 def test_all_quantities(spark):
     got = spark.createDataFrame([("2 kg and 500 g, .5l",), ("none 5 kgx",), (None,)], "t string").select(T.all_quantities(F.col("t")).alias("q")).collect()
     assert [[(x.value, x.unit) for x in r.q] for r in got] == [[(2.0, "kg"), (500.0, "g"), (0.5, "l")], [], []]
+
+
+def test_clean_names(spark):
+    df = spark.createDataFrame([(1, "Choc Biscuits™ 2 kg, Pack of 3"), (1, "Choc Biscuits™ 2 kg, Pack of 3"), (2, None), (3, ""), (4, "Wireeless & router 500GM")], "k int, name string")
+    fixes = spark.createDataFrame([("wireeless", "wireless")], "token string, word string")
+    got = {r.k: tuple(r)[1:] for r in spelling.clean_names(df, "k", "name", fixes).collect()}
+    assert got[1] == ("chocolate biscuits 2000 g pack of 3", "chocolate biscuit 2000 g pack of 3", 2000.0, "g", 3)
+    assert got[2] == (None, None, None, None, None) and got[3][:2] == ("", "")
+    assert got[4] == ("wireless and router 500 g", "wireless and router 500 g", 500.0, "g", None)
+    assert spelling.clean_names(df.where("false"), "k", "name").count() == 0
