@@ -19,8 +19,8 @@ def _pairs(spark, sf_dir, undecided=False):
     """Distinct scored pairs of the pair table, each unordered pair once with its greatest scores and agreed label; ``undecided`` rows have no label."""
     df = table(spark, sf_dir, P).where("i is not null and j is not null and i <> j")
     df = df if undecided else df.where("label is not null")
-    ends = df.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "label", "is_val", "sbert", F.col("char_cos"), *[c for c in df.columns if c.endswith("_conflict")])
-    return ends.groupBy("i", "j").agg(F.bool_and("label").alias("label"), F.bool_or("is_val").alias("is_val"), F.max("sbert").alias("sbert"), F.max("char_cos").alias("char_cos"), *[F.bool_or(c).alias(c) for c in ends.columns if c.endswith("_conflict")])
+    ends = df.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "label", "sbert", F.col("char_cos"), *[c for c in df.columns if c.endswith("_conflict") or c == "is_val"])
+    return ends.groupBy("i", "j").agg(F.bool_and("label").alias("label"), F.max("sbert").alias("sbert"), F.max("char_cos").alias("char_cos"), *[F.bool_or(c).alias(c) for c in ends.columns if c.endswith("_conflict") or c == "is_val"])
 
 
 _FLAGS = ["qty_conflict", "pack_conflict", "brand_conflict", "code_conflict", "mrp_conflict"]
