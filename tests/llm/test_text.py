@@ -230,7 +230,7 @@ def test_long_texts_take_linear_time(unit):
     text = unit * (200_000 // len(unit))
     begun = time.process_time()
     boundaries(text)
-    assert time.process_time() - begun < 2
+    assert time.process_time() - begun < 10  # quadratic ways took 30 to 190 s
 
 
 @settings(max_examples=200)
