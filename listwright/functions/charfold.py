@@ -105,10 +105,26 @@ def _whole() -> dict[int, str]:
     return {k: v for part in tables().values() for k, v in part.items()} | dict.fromkeys([*range(9, 14), *range(28, 32)], " ")
 
 
+@lru_cache(1)
+def _drawn() -> dict[str, str]:
+    return {chr(k): v for k, v in _whole().items()}
+
+
+#: Distinct mapped characters up to which they are replaced one by one, which is quicker than translating every character.
+FEW = 24
+
+
 def fold(text: str | None) -> str | None:
     """``text`` with one code point for each visible character, blanks collapsed and trimmed; null stays null."""
     if text is None:
         return None
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(_whole()))
+        drawn = _drawn()
+        mapped = drawn.keys() & set(text)
+        if len(mapped) > FEW:
+            text = text.translate(_whole())
+        else:
+            for ch in mapped:  # no form is itself mapped, so the order doesn't matter
+                text = text.replace(ch, drawn[ch])
+        text = unicodedata.normalize("NFC", text)
     return " ".join(text.split())

@@ -1,6 +1,7 @@
 """Golden cases and agreement tests of the general operators."""
 
 import json
+import unicodedata
 
 import numpy as np
 import pytest
@@ -449,3 +450,14 @@ def test_clean_names(spark):
     assert got[2] == (None, None, None, None, None) and got[3][:2] == ("", "")
     assert got[4] == ("wireless and router 500 g", "wireless and router 500 g", 500.0, "g", None)
     assert spelling.clean_names(df.where("false"), "k", "name").count() == 0
+
+
+def test_folding_few_or_many_characters_is_the_same():
+    from listwright.functions import charfold
+
+    mapped = list(charfold._drawn())
+    for some in (mapped[:5], mapped[::97], mapped):
+        text = "a " + " b".join(some) + " é é"
+        whole = " ".join(unicodedata.normalize("NFC", text.translate(charfold._whole())).split())
+        assert charfold.fold(text) == whole and charfold.fold(whole) == whole
+    assert charfold.fold(None) is None and charfold.fold("") == "" == charfold.fold(" ​")
