@@ -154,13 +154,22 @@ def _longest(doc: np.ndarray, item: np.ndarray, diagonals: list[dict], gram: int
     return False
 
 
+def _counted(df: DataFrame, size: int) -> DataFrame:
+    """``df`` as one side of a join: broadcast if its counted bytes are within the bound, else kept from being broadcast.
+
+    Without the hint Catalyst goes by the size of the files, and a text that many rows share is in them once.
+    """
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df.hint("merge")
+
+
 def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str, doc_text: str, item_key: str, item_text: str, item_lang: str, unspaced: tuple[str, ...] = ("zh", "ja")) -> DataFrame:
     """``doc_key, item_key``: every document and item with a common run of 12 words (24 letters and digits for ``unspaced``).
 
-    Null, empty and too short texts match nothing; repeated rows give one result row. The item fingerprints are broadcast
-    where their counted rows are within a bound, else both sides are shuffled on the hash. Hits are reduced map-side to the
-    diagonals (position in the document less position in the item) they lie on, so that passages repeated on both sides
-    cost a row per diagonal and not per pair of places. A document's text meets the list of its items in one row.
+    Null, empty and too short texts match nothing; repeated rows give one result row. The item fingerprints and texts
+    are broadcast where their counted bytes are within a bound, else both sides are shuffled; hits are always shuffled. They
+    are reduced map-side to the diagonals (position in the document less position in the item) they lie on, so that passages
+    repeated on both sides cost a row per diagonal and not per pair of places. A document's text meets the list of its items
+    in one row.
     """
     items = items.select(F.col(item_key).alias("item"), F.col(item_text).alias("itext"), F.when(F.col(item_lang).isin(*unspaced), "char").otherwise("word").alias("ikind"))
     letters = F.regexp_replace("itext", r"[^\p{L}\p{N}]", "")
@@ -169,15 +178,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, doc_key: str, doc_text:
     test = stored(fingerprints(items, "item", "itext", "ikind").select("item", "kind", "hash", F.col("pos").alias("ipos")).distinct(), "items")
     docs = documents.select(F.col(doc_key).alias("doc"), F.col(doc_text).alias("dtext"))
     train = fingerprints(docs, "doc", "dtext", ("word", "char"), cjk_only)
-    known = F.broadcast(test) if test.count() * 40 <= BROADCAST_BYTES else test
-    hits = train.join(known, ["kind", "hash"]).select("doc", "item", "kind", (F.col("pos") - F.col("ipos")).alias("shift"), "pos")
+    hits = train.join(_counted(test, test.count() * 40), ["kind", "hash"]).select("doc", "item", "kind", (F.col("pos") - F.col("ipos")).alias("shift"), "pos")
     diagonals = hits.groupBy("doc", "item", "kind", "shift").agg(F.min("pos").alias("low"), F.max("pos").alias("high"))
     found = diagonals.groupBy("doc", "item", "kind").agg(F.collect_list(F.struct("shift", "low", "high")).alias("hits"))
     passages = items.where(F.col("itext").isNotNull()).select("item", "itext").distinct()
     size = passages.agg(F.sum(F.octet_length("itext") + 40)).first()[0] or 0
-    met = found.join(F.broadcast(passages) if size <= BROADCAST_BYTES else passages, "item")
+    met = found.join(_counted(passages, size), "item")
     listed = stored(met.groupBy("doc").agg(F.collect_list(F.struct("item", "itext", "kind", "hits")).alias("items")), "hits")
-    pairs = docs.where(F.col("dtext").isNotNull()).join(listed, "doc")
+    pairs = docs.where(F.col("dtext").isNotNull()).join(listed.hint("merge"), "doc")  # either side grows with the documents
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coded = lru_cache(1024)(lambda text, kind: _codes(units(plain_text(text), kind)))  # of items that many rows share

@@ -163,6 +163,23 @@ def test_repeated_passages_cost_a_row_per_diagonal(spark):
     assert rows(got) == [(1, 1), (1, 2)]
 
 
+@pytest.mark.parametrize("bound", [leakage.BROADCAST_BYTES, 0])
+def test_hits_and_sides_beyond_the_bound_stay_off_the_driver(spark, monkeypatch, bound):
+    plans, store = [], leakage.stored
+
+    def noted(df, label):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return store(df, label)
+
+    monkeypatch.setattr(leakage, "stored", noted)
+    monkeypatch.setattr(leakage, "BROADCAST_BYTES", bound)
+    docs, items = [(k, " ".join(WORDS[k : k + 13])) for k in range(40)], [(k, "en", " ".join(WORDS[k : k + 20])) for k in range(0, 40, 3)]
+    got = leakage.leaked_items(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, lang string, text string"), "doc_id", "text", "item_id", "text", "lang")
+    assert rows(got) == _brute(docs, items)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert len(plans) == 2 and ("Broadcast" in plans[1]) == (bound > 0)
+
+
 SENTENCES = [
     ["Dr. Hazu from Kelonda Pvt. Ltd. checked batch no. 17 twice.", "It costs Rs. 50.50 at most shops, incl. taxes."],
     ['"Is it fresh?" asked the buyer.', 'The seller answered, "We ship on Monday."', "U.S. buyers paid more than E.U. buyers did."],
