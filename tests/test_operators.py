@@ -209,6 +209,38 @@ def test_linkage_beyond_the_matrix(spark, monkeypatch):
     assert [got[k] for k in range(16)] == [int(np.where(want == want[k])[0].min()) for k in range(16)]
 
 
+def test_linkage_by_pairs_equals_linkage_by_matrix(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    for n, share, t in ((40, 0.2, 0.3), (60, 0.9, 0.6), (50, 0.5, 0.45), (1, 1.0, 0.5)):
+        sim = np.triu(np.round(rng.random((n, n)), 2) * (rng.random((n, n)) < share), 1)
+        want = clustering.average_linkage(sim + sim.T, t)
+        i, j = np.nonzero(sim)
+        got = clustering.sparse_linkage(i.tolist(), j.tolist(), sim[i, j].tolist(), t)
+        assert [got.get(k, k) for k in range(n)] == [int(np.where(want == want[k])[0].min()) for k in range(n)]
+    sim = np.triu(np.round(rng.random((16, 16)), 6), 1)
+    df = spark.createDataFrame([(i, j, float(sim[i, j])) for i in range(16) for j in range(i + 1, 16)], "i bigint, j bigint, score double")
+    want = clustering.average_linkage(sim + sim.T, 0.5)
+    monkeypatch.setattr(clustering, "TASK_PAIRS", 4)
+    got = {r.id: r.group_id for r in clustering.agglomerative(df, 0.5).collect()}
+    assert [got[k] for k in range(16)] == [int(np.where(want == want[k])[0].min()) for k in range(16)]
+
+
+def test_small_components_share_a_task(spark, monkeypatch):
+    calls = spark.sparkContext.accumulator(0)
+    own = clustering._linked
+
+    def counted(batches, threshold, schema):
+        calls.add(1)
+        yield from own(batches, threshold, schema)
+
+    monkeypatch.setattr(clustering, "_linked", counted)
+    n = 20_000  # a Python call for each of so many components took minutes
+    links = spark.range(n).select((F.col("id") * 2).alias("i"), (F.col("id") * 2 + 1).alias("j"), F.when(F.col("id") % 2 == 0, 0.9).otherwise(0.7).alias("score"))
+    got = clustering.agglomerative(links, 0.7).groupBy("group_id").count().groupBy("count").count()
+    assert dict(tuple(r) for r in got.collect()) == {2: n // 2, 1: n}
+    assert calls.value <= 2 * 4
+
+
 def test_density_beyond_the_matrix(spark):
     rng = np.random.default_rng(6)
     angle = np.concatenate([rng.random(1550) * 0.5, 2 + rng.random(1550) * 0.5])
