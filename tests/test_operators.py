@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from listwright.functions import text as T
 from listwright.operators import clustering, evaluation, extract, graph, mapping, matching, profile, providers, spelling, vectors
-from listwright.plans import records
+from listwright.plans import pipeline, records
 from listwright.plans.pipeline import Params, run, search
 from listwright.runtime import broadcast_if_small, plan_bytes, stored
 from listwright.sources import readers
@@ -241,6 +241,25 @@ def test_small_components_share_a_task(spark, monkeypatch):
     assert calls.value <= 2 * 4
 
 
+def test_search_scores_no_pair(spark, monkeypatch):
+    def never(*_):
+        raise AssertionError("pairs were made")
+
+    monkeypatch.setattr(pipeline, "_match", never)
+    df = spark.createDataFrame([(1, "Mustard Oil 1 kg", "A"), (2, "Wall Clock", "B"), (3, None, "C")], "no bigint, `Item Title` string, Brand string")
+    result = pipeline.run(df, key="no")
+    assert [r.row_id for r in pipeline.search(result, "mustard oil 1 kg", 1).collect()] == [1]
+    assert result.records.count() == 3
+
+
+def test_vectors_stand_beside_all_columns(spark):
+    df = spark.createDataFrame([(1, "Salt 1 kg", 2.0), (2, None, None), (3, "", 3.0)], "id bigint, t string, p double")
+    got = {r.id: r for r in vectors.with_encoded(df, "t").collect()}
+    plain = vectors.hashed_encoder()(["Salt 1 kg"])[0]
+    assert got[1].p == 2.0 and got[1].embedding == plain.tolist()
+    assert got[2].embedding is None and got[3].embedding == [0.0] * 64
+
+
 def test_density_beyond_the_matrix(spark):
     rng = np.random.default_rng(6)
     angle = np.concatenate([rng.random(1550) * 0.5, 2 + rng.random(1550) * 0.5])
