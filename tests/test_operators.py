@@ -260,6 +260,38 @@ def test_vectors_stand_beside_all_columns(spark):
     assert got[2].embedding is None and got[3].embedding == [0.0] * 64
 
 
+def test_known_ranks_are_those_of_topk(spark, monkeypatch):
+    rng = np.random.default_rng(21)
+    x = rng.integers(-2, 3, (400, 8)).astype(np.float32)  # with equal vectors and a blank one
+    x[7] = 0
+    x /= np.maximum(1e-9, np.linalg.norm(x, axis=1, keepdims=True))
+    q = x[:60] + (rng.random((60, 1)) < 0.6) * rng.normal(size=(60, 8)) * 0.2
+    q = (q / np.maximum(1e-9, np.linalg.norm(q, axis=1, keepdims=True))).astype(np.float32)
+    index = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(400, None)], "id bigint, v array<float>")
+    asked = spark.createDataFrame([(k, k, q[k].tolist(), x[k].tolist()) for k in range(60)], "query bigint, id bigint, v array<float>, known array<float>")
+    want = {r.query: r.rank for r in vectors.dense_topk(asked.select("id", "v"), index, "id", "v", 5).collect() if r.query == r.id}
+    assert 5 < len(want) < 60
+    for held in (32 << 20, 32 * 25):
+        monkeypatch.setattr(vectors, "HELD_BYTES", held)
+        assert {r.query: r["rank"] for r in vectors.known_ranks(asked, index, "id", "v", "known", 5).collect()} == want
+
+
+def test_rewritten_names_take_no_topk(spark, monkeypatch):
+    names = [(k, f"{a} {b} {c}") for k, (a, b, c) in enumerate((a, b, c) for a in "atta rice milk soap".split() for b in "alpha beta gamma".split() for c in ("1 kg", "2 kg", "5 kg"))]
+    corpus = spark.createDataFrame(names, "id bigint, text string")
+    asked = spark.createDataFrame([("same", k, t) for k, t in names] + [("lower", k, t.upper()) for k, t in names] + [("cut", k, t[2:-1] if k else None) for k, t in names] + [("cut", 99, "atta")], "form string, id bigint, text string")
+    x = {t: vectors.hashed_encoder()([t])[0].astype(float) for t in {t for _, t in names} | {r.text for r in asked.collect() if r.text}}
+    want = {}
+    for r in asked.collect():
+        s = sorted((-round(float(x[r.text] @ x[t]), 6), k) for k, t in names) if r.text else []
+        at = [k for _, k in s[:10]]
+        want.setdefault(r.form, []).append(at.index(r.id) + 1 if r.id in at else 0)
+    monkeypatch.setattr(vectors, "_ranked", None)  # no list of neighbours is made
+    got = {r.form: (r.queries, r.recall_1, r.recall_5, r.mrr) for r in evaluation.rewritten_retrieval(corpus, asked, vectors.hashed_encoder()).collect()}
+    share = lambda v: round(float(np.mean(v)), 4)
+    assert got == {f: (len(v), share([a == 1 for a in v]), share([0 < a <= 5 for a in v]), pytest.approx(share([1 / a if a else 0 for a in v]), abs=1e-4)) for f, v in want.items()}
+
+
 def test_density_beyond_the_matrix(spark):
     rng = np.random.default_rng(6)
     angle = np.concatenate([rng.random(1550) * 0.5, 2 + rng.random(1550) * 0.5])
