@@ -292,6 +292,25 @@ def test_rewritten_names_take_no_topk(spark, monkeypatch):
     assert got == {f: (len(v), share([a == 1 for a in v]), share([0 < a <= 5 for a in v]), pytest.approx(share([1 / a if a else 0 for a in v]), abs=1e-4)) for f, v in want.items()}
 
 
+@pytest.mark.parametrize("held", [32 << 20, 32 * 60])
+def test_pruned_topk_is_that_of_all_pairs(spark, monkeypatch, held):
+    rng = np.random.default_rng(31)
+    texts = [" ".join(f"w{int(x)}" for x in rng.zipf(1.3, rng.integers(1, 9)) % 300) for _ in range(500)]
+    texts[40:44] = [texts[20], "solo", None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "id bigint, t string")
+    grams = vectors.word_grams(F.col("t"))
+    w = vectors.tfidf(df, "id", grams)
+    want = vectors.sparse_topk(w.where("id % 4 = 0"), w, 3, self_join=True, digits=4)
+    monkeypatch.setattr(vectors, "HELD_BYTES", held)
+    packed = stored(vectors.packed_tfidf(df, "id", grams), "packed")
+    again = [(r.id, round(x, 9)) for r in packed.collect() for x in r.w]
+    assert sorted(again) == sorted((r.id, round(r.weight, 9)) for r in w.collect())
+    monkeypatch.setattr(vectors, "_dealt", None)  # rows aren't dealt out to blocks of queries
+    for rest in (0.3, 0.9, 0.0):
+        monkeypatch.setattr(vectors, "REST", rest)
+        assert rows(vectors.tfidf_topk(packed, F.expr("id % 4 = 0"), 3, digits=4)) == rows(want)
+
+
 def test_density_beyond_the_matrix(spark):
     rng = np.random.default_rng(6)
     angle = np.concatenate([rng.random(1550) * 0.5, 2 + rng.random(1550) * 0.5])
