@@ -11,7 +11,7 @@ from listwright.functions import text as T
 from listwright.operators import clustering, evaluation, extract, graph, mapping, matching, profile, providers, spelling, vectors
 from listwright.plans import pipeline, records
 from listwright.plans.pipeline import Params, run, search
-from listwright.runtime import broadcast_if_small, plan_bytes, stored
+from listwright.runtime import SHUFFLE_CLEANUP, broadcast_if_small, plan_bytes, stored
 from listwright.sources import readers
 from listwright.streaming.rows import clean_listings, first_deliveries
 
@@ -311,6 +311,23 @@ def test_pruned_topk_is_that_of_all_pairs(spark, monkeypatch, held):
         assert rows(vectors.tfidf_topk(packed, F.expr("id % 4 = 0"), 3, digits=4)) == rows(want)
 
 
+def test_stored_frames_leave_no_shuffle_files(spark):
+    before = spark.conf.get(SHUFFLE_CLEANUP, "false")
+    tracker = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().mapOutputTracker()
+    n = tracker.shuffleStatuses().size()
+    df = spark.range(1000).groupBy((F.col("id") % 7).alias("g")).count()
+    assert stored(df, "t").count() == 7
+    assert stored(df, "t").where("count > 142").count() == 6
+    assert tracker.shuffleStatuses().size() <= n + 2  # of the two counts
+    assert spark.conf.get(SHUFFLE_CLEANUP, "false") == before
+
+
+def test_pair_cosine_of_packed_vectors(spark):
+    df = spark.createDataFrame([(1, "sony pslx350h"), (2, "sony ps lx350h turntable"), (3, "bose speaker"), (4, None)], "id int, t string")
+    grams, pairs = vectors.char_grams(F.col("t")), spark.createDataFrame([(1, 2), (1, 3), (2, 4)], "i int, j int")
+    assert rows(vectors.pair_cosine(pairs, vectors.packed_tfidf(df, "id", grams))) == rows(vectors.pair_cosine(pairs, vectors.tfidf(df, "id", grams)))
+
+
 def test_density_beyond_the_matrix(spark):
     rng = np.random.default_rng(6)
     angle = np.concatenate([rng.random(1550) * 0.5, 2 + rng.random(1550) * 0.5])
